@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Text bytes that one vectorised step handles at once; a longer document is one step of its own.
 STEP_BYTES = 1 << 20
 
@@ -54,6 +56,7 @@ class Scratch:
     """Tables that cut lineage: ``keep(df, name)`` writes once and gives a DataFrame that reads it."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/plinth-{label}-{uuid.uuid4().hex[:12]}"
         _made.append((spark, self.root))
@@ -74,9 +77,20 @@ def _forget() -> None:
             drop_path(spark, root)
 
 
-def keyed_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, text)`` of the rows that have an id; no other column is read."""
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def opened(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The same rows with every column but ``keep`` renamed by position, so that no name can clash."""
+    return docs.toDF(*[c if c in keep else f"x{i}" for i, c in enumerate(docs.columns)])
+
+
+def keyed_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, text)`` of the rows that have an id; no other column is read."""
+    rows = opened(docs, (key, "text"))
+    return rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
+
+
+def with_columns_of(docs: DataFrame, result: DataFrame) -> DataFrame:
+    """``result`` (columns as ``opened`` names them) under the column names of ``docs``, in their order."""
+    return result.select(opened(docs).columns).toDF(*docs.columns)
 
 
 def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -242,3 +256,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
             break
         before = now
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
+
+
+def bodies_of(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each text."""
+    data, offsets = buffers(texts)
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

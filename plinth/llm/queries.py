@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .exact_dedup import exact_duplicates
+from .line_dedup import without_repeated_lines
 from .near_dedup import near_duplicates
+from .packing import packed_sequences
+from .sharding import balanced_shards
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +22,54 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(_documents(spark, sf_dir))
 
-ORACLES: dict[str, str] = {}
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(_documents(spark, sf_dir), shards=8)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_balanced_sharding": op6_balanced_sharding,
+}
+
+#: DuckDB twins. A blank is 0x20 or 0x09-0x0D; a missing text is empty.
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH plain AS (
+          SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body
+          FROM documents WHERE doc_id IS NOT NULL)
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               min(doc_id) OVER same = doc_id AS kept, sha256(body) AS text_sha256
+        FROM plain WINDOW same AS (PARTITION BY body)
+    """,
+    "op5_line_dedup": r"""
+        WITH split AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+          FROM documents WHERE doc_id IS NOT NULL),
+        keyed AS (
+          SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM split),
+        judged AS (
+          SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS lost FROM keyed)
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (lost) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
+}
