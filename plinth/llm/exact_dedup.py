@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import golomb
 from .common import BLANK, Scratch, bodies_of, keyed_texts, steps, task_number
+from .exchange import shared_values
 
 CHUNK = 1 << 16
 OWNER = 1 << 20
@@ -53,36 +53,8 @@ def _values(shas: pa.ChunkedArray, bits: int) -> np.ndarray:
     return (np.frombuffer(body, ">u8").astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _messages(table: pa.Table, bits: int, owner_bits: int) -> pa.Table:
-    chunk = table["chunk"][0].as_py()
-    values = np.unique(_values(table["sha"], bits))
-    owners = values >> (bits - owner_bits)
-    edges = np.searchsorted(owners, np.arange((1 << owner_bits) + 1))
-    used = np.flatnonzero(np.diff(edges))
-    mask = (1 << (bits - owner_bits)) - 1
-    code = [golomb.encode(values[edges[o] : edges[o + 1]] & mask) for o in used]
-    return pa.table({"chunk": np.full(len(used), chunk), "owner": used.astype(np.int64), "code": pa.array(code, pa.binary())})
-
-
-def _answers(table: pa.Table) -> pa.Table:
-    sent = [golomb.decode(x) for x in table["code"].to_pylist()]
-    every = np.sort(np.concatenate(sent))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    bitmaps = [np.packbits(np.isin(x, twice, assume_unique=True)).tobytes() for x in sent]
-    return pa.table({"chunk": table["chunk"], "owner": table["owner"], "bitmap": pa.array(bitmaps, pa.binary())})
-
-
-def _suspects(rows: pa.Table, answers: pa.Table, bits: int, owner_bits: int) -> pa.Table:
-    if not rows.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64())})
-    values = _values(rows["sha"], bits)
-    distinct, place, count = np.unique(values, return_inverse=True, return_counts=True)
-    flags = count > 1
-    edges = np.searchsorted(distinct >> (bits - owner_bits), np.arange((1 << owner_bits) + 1))
-    for owner, bitmap in zip(answers["owner"].to_pylist(), answers["bitmap"].to_pylist(), strict=True):
-        a, b = edges[owner], edges[owner + 1]
-        flags[a:b] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=int(b - a)).astype(bool)
-    return pa.table({"doc_id": rows["doc_id"].to_numpy()[flags[place]]})
+def _suspects(table: pa.Table, flags: np.ndarray) -> pa.Table:
+    return pa.table({"doc_id": table["doc_id"].to_numpy()[flags]})
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -94,9 +66,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     bits = min(60, max(1, total).bit_length() + 8)
     owner_bits = max(4, (total // OWNER).bit_length())
 
-    messages = prints.groupBy("chunk").applyInArrow(lambda t: _messages(t, bits, owner_bits), "chunk long, owner long, code binary")
-    answers = messages.groupBy("owner").applyInArrow(_answers, "chunk long, owner long, bitmap binary")
-    suspects = prints.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _suspects(a, b, bits, owner_bits), "doc_id long")
+    suspects = shared_values(prints, lambda t: [_values(t["sha"], bits)], bits, owner_bits, _suspects, "doc_id long")
     suspects = scratch.keep(suspects.distinct(), "suspects")
 
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\u000B\f\r]+", " ")

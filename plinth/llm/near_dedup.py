@@ -12,9 +12,12 @@ digest), so copies never reach the bands.
 
 Candidates. A bucket never emits all its pairs. Each bucket's hub is the member whose bands hold the most
 documents in all (the text that the others were made from shares the most bands); members are verified
-against it. What stays apart in a bucket after that goes through a second star and then through pairs
-across the components of the bucket, thinned by set sizes and by agreeing sketch coordinates (a pair at
-0.8 agrees in fewer than ``AGREE`` of 128 with probability below 1e-8). No bucket or partner is capped.
+against it. What stays apart in a bucket after that goes through a second star. Documents that are still
+outside the largest component of a bucket are then joined exactly, by prefixes: shingles are ordered rare
+first, and two sets with a link share a shingle among the first fifth of either, at places that leave room
+for an intersection of ``p / (1 + p) * (n1 + n2)``. Shingles that no other document in question holds (a
+compressed exchange finds them, never one too many) match nothing, so private edits use the prefix up.
+No bucket, partner or prefix is capped.
 
 Links are confirmed on full sets. Results per case: null or empty text and text without words: empty
 set, linked with nothing, a component of its own; fewer words than a shingle: the whole sequence is one
@@ -30,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, LOWER, RunHash, Scratch, SpanHash, buffers, components, keyed_texts, list_array, mix64, signed, steps, word_spans
+from .common import _U, LOWER, RunHash, Scratch, SpanHash, buffers, components, keyed_texts, list_array, mix64, signed, steps, task_number, word_spans
+from .exchange import shared_values
 
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
-#: Least number of the 128 coordinates that a pair at 0.8 or more agrees in (mean 102, sd 4.5).
-AGREE = 72
+#: Shingles of one chunk of full sets, on average.
+CHUNK = 1 << 19
 
 _word, _run = SpanHash(11), RunHash(12)
 
@@ -91,18 +95,34 @@ def _digest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         for r in range(ROWS):
             bands = mix64(bands ^ sketch[:, r::ROWS], 31 + r)
         rows = list_array(signed(bands).reshape(-1), np.arange(n + 1) * BANDS)
-        marks = (mix64(sketch, 5) & _U(0xFFFF)).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(size), pa.array(signed(sums[0])), pa.array(signed(sums[1])), rows, pa.array([x.tobytes() for x in marks], pa.binary())],
-            ["doc_id", "n_shingles", "f1", "f2", "bands", "marks"],
+            [pa.array(ids), pa.array(size), pa.array(signed(sums[0])), pa.array(signed(sums[1])), rows],
+            ["doc_id", "n_shingles", "f1", "f2", "bands"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    chunk, held = task_number() << 20, 0
     for ids, texts in steps(batches):
         values, edges = shingle_sets(texts, k)
+        if held and held + len(values) > CHUNK:
+            chunk, held = chunk + 1, 0
+        held += len(values)
         body = [values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(body, pa.binary())], ["doc_id", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(body, pa.binary()), pa.array(np.full(len(ids), chunk))], ["doc_id", "body", "chunk"])
+
+
+def _shared(table: pa.Table, flags: np.ndarray, percent: int) -> pa.Table:
+    """The sets' sizes and those of their shingles that may be elsewhere too, where these can make a link."""
+    bodies = table["body"].to_pylist()
+    sizes = np.array([len(x) // 8 for x in bodies], np.int64)
+    ends = np.cumsum(sizes)
+    held = np.append(0, np.cumsum(flags))
+    fit = np.flatnonzero((held[ends] - held[ends - sizes]) * 100 >= sizes * percent)
+    values = np.frombuffer(b"".join(bodies), _U)
+    parts = [values[ends[i] - sizes[i] : ends[i]][flags[ends[i] - sizes[i] : ends[i]]] for i in fit]
+    edges = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int64)
+    return pa.table({"doc_id": table["doc_id"].to_numpy()[fit], "n": sizes[fit], "tokens": list_array(signed(np.concatenate([*parts, values[:0]])), edges)})
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -117,28 +137,18 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64()))], ["u", "v"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, T)
-        b = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, T)
-        kept = pa.array(np.flatnonzero((a == b).sum(axis=1) >= AGREE))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["u", "v"])
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``; see the module."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = keyed_texts(docs)
-    every = scratch.keep(texts.mapInArrow(lambda it: _digest(it, shingle), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, marks binary"), "digests")
+    every = scratch.keep(texts.mapInArrow(lambda it: _digest(it, shingle), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "digests")
 
-    # One class for each distinct set; its bands and marks come from any of its equal members.
+    # One class for each distinct set; its bands come from any of its equal members.
     classes = every.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     owner = every.where("n_shingles > 0").select("doc_id", "f1", "f2", "n_shingles")
     member = scratch.keep(owner.join(classes, ["f1", "f2"]).select("doc_id", "rep", "n_shingles").distinct(), "members")
-    reps = every.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", "n_shingles", "bands", "marks").dropDuplicates(["doc_id"])
+    reps = every.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"])
 
     banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))
     banded = banded.select("doc_id", "n", F.xxhash64("band", "value").alias("bucket"))
@@ -149,7 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     banded = scratch.keep(banded.drop("crowd").join(weight, "doc_id"), "buckets")
     scratch.drop("banded")
     suspects = banded.select("doc_id").distinct()
-    bodies = scratch.keep(texts.join(suspects, "doc_id").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, body binary").dropDuplicates(["doc_id"]), "sets")
+    bodies = scratch.keep(texts.join(suspects, "doc_id").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, body binary, chunk long").dropDuplicates(["doc_id"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("doc_id").alias("u"), F.col("body").alias("a"))
@@ -186,14 +196,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Whatever is still apart in a bucket: every pair across its components.
     torn = scratch.keep(split(labelled(labels)), "torn2")
+    asked = bodies.join(torn.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = scratch.keep(asked, "asked")
+    amount = asked.agg(F.sum(F.octet_length("body") / 8).cast("long")).first()[0] or 0
+    bits = min(60, max(12, amount.bit_length() + 8))
+    shift = _U(64 - bits)
+
+    def shingles(table: pa.Table) -> list[np.ndarray]:
+        return [(np.frombuffer(b"".join(table["body"].to_pylist()), _U) >> shift).astype(np.int64)]
+
+    held = shared_values(asked, shingles, bits, max(4, (amount >> 20).bit_length()), lambda t, f: _shared(t, f, percent), "doc_id long, n long, tokens array<long>")
+    held = scratch.keep(held, "held")
+    each = held.select("doc_id", "n", F.explode("tokens").alias("t"))
+    rarity = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = each.join(rarity, "t").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    # Place of the i-th shared shingle: all unshared ones stand before it. A link needs a shared one by n - percent of n.
+    ordered = ordered.withColumn("skip", F.col("n") - F.size("o")).withColumn("reach", F.floor(F.size("o") - F.col("n") * percent / 100).cast("int") + 1).where("reach > 0")
+    prefix = ordered.select("doc_id", "n", "skip", F.posexplode(F.slice("o", F.lit(1), F.col("reach"))).alias("i", "e")).select("doc_id", "n", (F.col("n") - F.col("skip") - F.col("i")).alias("left"), F.col("e.t").alias("t"))
+    prefix = prefix.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    prefix = scratch.keep(prefix, "prefix")
     parts = torn.groupBy("bucket", "part").agg(F.count("*").alias("m"))
     main = parts.groupBy("bucket").agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("main"))
-    outside = torn.join(main, "bucket").where("part <> main").select("bucket", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("part").alias("other"))
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    pairs = torn.join(outside, "bucket").where(near & (F.col("part") != F.col("other"))).select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v")).distinct()
-    marks = reps.select("doc_id", "marks")
-    pairs = pairs.join(marks.withColumnsRenamed({"doc_id": "u", "marks": "a"}), "u").join(marks.withColumnsRenamed({"doc_id": "v", "marks": "b"}), "v").select("u", "v", "a", "b")
-    pairs = pairs.mapInArrow(_alike, "u long, v long")
+    outside = torn.join(main, "bucket").where("part <> main").select("doc_id").distinct()
+    ours = prefix.join(outside, "doc_id", "left_semi").withColumnsRenamed({"doc_id": "x", "n": "m", "left": "rest", "part": "other"})
+    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & (F.least("left", "rest") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    pairs = prefix.join(ours, "t").where(near & (F.col("part") != F.col("other"))).select(F.least("doc_id", "x").alias("u"), F.greatest("doc_id", "x").alias("v")).distinct()
+    pairs = scratch.keep(pairs, "pairs")
     third = scratch.keep(verify(pairs), "rest")
     labels = components(links.unionByName(third), scratch, "c3")
 
