@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .licenses import licence_scan
 from .line_dedup import without_repeated_lines
 from .near_dedup import near_duplicates
 from .packing import packed_sequences
 from .sharding import balanced_shards
+from .substring_dedup import without_repeated_passages
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licence_scan(_documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base").alias("first_word"), F.array_max("base").alias("last_word"), "base_labels", "labels", "score"
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(_documents(spark, sf_dir))
 
@@ -39,12 +49,24 @@ def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_documents(spark, sf_dir), shards=8)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_passages(_documents(spark, sf_dir)).drop("kept")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_balanced_sharding": op6_balanced_sharding,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB twins. A blank is 0x20 or 0x09-0x0D; a missing text is empty.
