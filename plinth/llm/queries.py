@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .licenses import licence_scan
@@ -49,6 +50,19 @@ def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_documents(spark, sf_dir), shards=8)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = language_id.held_out(F.col("doc_id"), 5, 0)
+    return language_id.identify(docs, language_id.learn(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = language_id.held_out(F.col("doc_id"), 4, 2)
+    scored = quality.score(docs, quality.learn(docs, labels, ~out))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_passages(_documents(spark, sf_dir)).drop("kept")
 
@@ -65,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_balanced_sharding": op6_balanced_sharding,
+    "op7_language_id": op7_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
