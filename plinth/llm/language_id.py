@@ -146,3 +146,25 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     return keyed_texts(docs).mapInArrow(lambda it: _judged(it, shared.value), "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, profiles: Profiles, least: float = 0.1) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has letters and comes as near to a profile as ``least``.
+
+    Rejected are ``und`` and scores below ``least`` (hardly an n-gram in common with any profile).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        names, scores = [], [np.empty(0)]
+        for _, part in steps(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()).fill_null(0), texts], ["i", "t"])])):
+            found = shared.value.judge(part.to_pylist())
+            names += found[0]
+            scores.append(found[1])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+
+    rows = opened(docs)
+    verdict = rows.withColumn("verdict", judge(F.col("text").cast("string")))
+    kept = verdict.where((F.col("verdict.lang_pred") != "und") & (F.col("verdict.score") >= least)).drop("verdict")
+    return kept.toDF(*docs.columns)
