@@ -107,6 +107,17 @@ def _flagged(table: pa.Table, flags: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": ids[edges], "flagged": list_array(values, np.append(edges, len(ids)))})
 
 
+def _later(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which rows ``(h1, h2, doc, start)`` have their hashes in an earlier row of ``order`` at another place."""
+    one = rows[order]
+    head = np.ones(len(one), bool)
+    head[1:] = (one[1:, :2] != one[:-1, :2]).any(axis=1)
+    leader = one[np.maximum.accumulate(np.where(head, np.arange(len(one)), 0))]
+    lost = np.zeros(len(one), bool)
+    lost[order] = (one[:, 2:] != leader[:, 2:]).any(axis=1)
+    return lost
+
+
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Of ``(doc_id, text, flagged)``: runs of windows with one anchor, each window once in a step."""
     names = ["anchor", "doc_id", "start", "n", "hashes"]
@@ -127,10 +138,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             text = found.text_of[picked]
             doc, start = ids[text], picked - found.first[text]
             order = np.lexsort((start, doc, h2, h1))
-            again = np.zeros(len(order), bool)
-            again[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-            lost = np.zeros(len(order), bool)
-            lost[order] = again
+            lost = _later(np.column_stack([h1, h2, doc.astype(_U), start.astype(_U)]), order)
             # Runs of neighbours with one anchor and one fate.
             anchor = found.anchor[picked]
             new = np.ones(len(picked), bool)
@@ -144,7 +152,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of anchor, document, start: runs of starts whose window came before."""
-    carried = np.empty((0, 2), _U)
+    carried = np.empty((0, 4), _U)
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -153,17 +161,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies = batch.column(4).to_pylist()
         sent = np.array([len(x) > 0 for x in bodies])
         lengths = np.where(sent, counts, 0)
+        row = np.repeat(np.arange(len(counts)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         pairs = np.frombuffer(b"".join(bodies), _U).reshape(-1, 2)
         if last is not None and anchors[0] != last:
             carried = carried[:0]
-        every = np.concatenate([carried, pairs])
+        every = np.concatenate([carried, np.column_stack([pairs, docs[row].astype(_U), (starts[row] + place).astype(_U)])])
         order = np.lexsort((np.arange(len(every)), every[:, 1], every[:, 0]))
-        again = np.zeros(len(every), bool)
-        if len(every) > 1:
-            again[order[1:]] = (every[order][1:] == every[order][:-1]).all(axis=1)
-        fresh = again[len(carried) :]
-        row = np.repeat(np.arange(len(counts)), lengths)
-        place = np.arange(len(pairs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        fresh = _later(every, order)[len(carried) :]
         doc = np.concatenate([docs[row][fresh], docs[~sent]])
         lo = np.concatenate([(starts[row] + place)[fresh], starts[~sent]])
         hi = np.concatenate([(starts[row] + place)[fresh] + 1, (starts + counts)[~sent]])
@@ -176,7 +181,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(lo[heads]), pa.array(hi[np.append(heads[1:], len(doc)) - 1])], ["doc_id", "lo", "hi"])
         # What the next batch must know: windows of the anchor that this one ends with.
         same = every[len(carried) :][anchors[row] == anchors[-1]]
-        carried = np.unique(np.concatenate([carried, same]) if anchors[0] == anchors[-1] else same, axis=0)
+        if anchors[0] == anchors[-1]:
+            same = np.concatenate([carried, same])
+        _, heads = np.unique(same[:, :2], axis=0, return_index=True)
+        carried = same[heads]
         last = anchors[-1]
 
 
