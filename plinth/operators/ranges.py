@@ -1,0 +1,17 @@
+"""Interval joins as equi-joins: spans are cut into cells, points fall in one cell."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def interval_join(spans: DataFrame, points: DataFrame, width: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``spans(lo, hi)`` with the rows of ``points(at)`` in them, ends included, within equal ``keys``.
+
+    A span is listed once for each cell of ``width`` that it touches, so the join is by hash or sort on cell and
+    keys; choose the width near the usual span.
+    """
+    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    placed = points.withColumn("cell", F.floor(F.col("at") / width))
+    return cells.join(placed, [*keys, "cell"]).where(F.col("at").between(F.col("lo"), F.col("hi"))).drop("cell")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,3 +29,46 @@ def ship(spark: SparkSession) -> None:
                     archive.write(path, os.path.relpath(path, os.path.dirname(top)))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="plinth-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table through Hadoop's file system, wherever it lies."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended; a scratch table may stay then
+        pass
+
+
+class Scratch:
+    """Tables that cut lineage: ``keep(df, name)`` writes once and gives a DataFrame that reads it."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/plinth-{label}-{uuid.uuid4().hex[:12]}"
+        _made.append((spark, self.root))
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str) -> None:
+        drop_path(self.spark, f"{self.root}/{name}")
+
+
+@atexit.register
+def _forget() -> None:
+    for spark, root in _made:
+        if spark.sparkContext._jsc is not None:
+            drop_path(spark, root)
