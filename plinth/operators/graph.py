@@ -7,7 +7,7 @@ a key (one patch each) go through one grouped Tarjan instead.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,15 +128,16 @@ def cycles_by_key(edges: DataFrame, key: str = "patch_id", include_self_loops: b
     """``(key, cycle)`` for the small graph of each key; a cycle is an array of nodes, smallest first."""
     kind = dict(edges.dtypes)[key]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         graph: dict[str, list[str]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        for a, b in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
             graph.setdefault(a, []).append(b)
         found = tarjan(graph, include_self_loops)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(found), "cycle": found})
+        keys = pa.array([table[key][0].as_py()] * len(found), table.schema.field(key).type)
+        return pa.table({key: keys, "cycle": pa.array(found, pa.list_(pa.string()))})
 
     Scratch(edges.sparkSession, "cycles")
-    return edges.select(key, "src", "dst").distinct().groupBy(key).applyInPandas(run, f"{key} {kind}, cycle array<string>")
+    return edges.select(key, "src", "dst").distinct().groupBy(key).applyInArrow(run, f"{key} {kind}, cycle array<string>")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1, max_fanout: int = 20, max_nodes: int = 50) -> tuple[DataFrame, DataFrame]:

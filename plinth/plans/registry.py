@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import dataset_queries, graph_queries  # noqa: F401  they register themselves
+    from . import code_queries, dataset_queries, graph_queries, mutation_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
