@@ -85,6 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK_WORDS = r"'[^\x20\x09-\x0D]+'"
+_PLAIN_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 #: DuckDB twins. A blank is 0x20 or 0x09-0x0D; a missing text is empty.
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -110,4 +114,38 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT lost), '')) AS kept_sha256
         FROM judged GROUP BY doc_id
     """,
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_BLANK_WORDS}) AS w FROM documents WHERE doc_id IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT u, v FROM both_ JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 80 * (a.n + b.n - c)),
+        reach AS (SELECT u, v FROM (SELECT u, v FROM link UNION SELECT v, u FROM link) UNION SELECT r.u, l.v FROM reach r JOIN (SELECT u, v FROM link UNION SELECT v, u FROM link) l ON r.v = l.u),
+        low AS (SELECT u AS doc_id, min(v) AS low FROM reach GROUP BY u)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, least(d.doc_id, coalesce(low, d.doc_id)) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+    """,
+    "op9_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_BLANK_WORDS}) AS w FROM documents WHERE doc_id IS NOT NULL),
+        win AS (SELECT doc_id, i AS start, sha256(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+        lost AS (SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, start) AS r FROM win) WHERE r > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM lost),
+        word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS body FROM word ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op10_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORDS}) AS w FROM documents WHERE doc_id IS NOT NULL),
+        b AS (SELECT item_id, regexp_extract_all({_LOWERED}, {_PLAIN_WORDS}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+        k AS (SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS k
+              FROM (SELECT item_id, w, least(13, len(w)) AS width, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        p AS (SELECT doc_id, start, width, array_to_string(w[start:start + width - 1], ' ') AS k
+              FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS start FROM d, (SELECT DISTINCT width FROM k) WHERE len(w) >= width)),
+        hit AS (SELECT doc_id, start, width, item_id FROM p JOIN k USING (k, width)),
+        covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(start, start + width)) AS place FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
