@@ -292,3 +292,38 @@ def e21(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e22(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir, "doc_id", F.col("text").alias("input_dsl"))
     return R.split_leakage(rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")).select("doc_id")
+
+
+@register(
+    "t7_text_summary",
+    """WITH x AS (SELECT r_name, '[DIFF_TARGET] ' || r_name || chr(10) || string_agg('N' || n_nationkey || ': ' || n_name || ' [x]', chr(10) ORDER BY n_nationkey) AS t, count(*) AS n,
+                 list('N' || n_nationkey || ': ' || n_name || ' [x]' ORDER BY n_nationkey) AS xs FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
+       SELECT r_name AS target, array_to_string(xs[1:3], '; ') || CASE WHEN n > 3 THEN ' ... (+' || (n - 3) || ' more)' ELSE '' END AS nodes FROM x""",
+)
+def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    line = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit(": "), "n_name", F.lit(" [x]"))
+    rows = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # a fixed list of regions
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"])
+    texts = rows.groupBy("r_name").agg(F.concat(F.lit("[DIFF_TARGET] "), F.col("r_name"), F.lit("\n"), F.array_join(lines, "\n")).alias("t"))
+    return texts.select(S.dsl_target(F.col("t")).alias("target"), S.dsl_nodes(F.col("t")).alias("nodes"))
+
+
+@register(
+    "t15_miss_notes",
+    f"""WITH {_O} SELECT doc_id, 'The change ' || CASE WHEN category = 'real_revert' THEN '{S.MISS_NOTES["revert"]}' WHEN category LIKE '%security%' THEN '{S.MISS_NOTES["security"]}'
+          WHEN category LIKE '%logic%' THEN '{S.MISS_NOTES["logic"]}' WHEN category LIKE '%breaking%' THEN '{S.MISS_NOTES["api"]}' ELSE 'keeps every contract that is checked' END || '; it was scored ' || printf('%.4f', risk) || '.' AS note FROM o WHERE o = 'FP'""",
+)
+def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _judged(spark, sf_dir).where("outcome = 'FP'")
+    cause = E.root_cause(F.col("outcome"), F.col("category"), F.col("language"), F.col("risk"), F.lit(0), F.lit(""))
+    return rows.select("doc_id", S.miss_note(cause, F.col("risk")).alias("note"))
+
+
+@register("r_decision_ladder", f"WITH {RECORDS} SELECT doc_id, CASE WHEN toxic = 1 THEN 'REJECTED' ELSE 'APPROVED' END AS status, CASE WHEN toxic = 1 THEN 1.0 ELSE 0.98 END AS confidence, CASE WHEN toxic = 1 THEN 0.95 ELSE 0.05 END AS risk_score, CASE WHEN toxic = 1 THEN 'BreakingPublicAPI,SilentLogicDrift' ELSE '' END AS active FROM records")
+def r_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.verify import heuristic
+
+    said = F.when(F.col("toxic") == 1, F.array(F.lit("ARITY_MISMATCH: x"))).otherwise(F.array().cast("array<string>"))
+    rows = records(spark, sf_dir).withColumn("violations", said).withColumn("d", heuristic(F.lit("APPROVED"), F.col("violations"), F.array().cast("array<array<string>>")))
+    return rows.select("doc_id", "d.status", "d.confidence", "d.risk_score", F.array_join(S.active_classes(F.col("d.risk_taxonomy")), ",").alias("active"))

@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from plinth.plans import registry
@@ -26,7 +27,7 @@ def con():
 
 def canon(frame):
     frame = frame[sorted(frame.columns)]
-    rows = [tuple("~" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{float(v):.5f}" if isinstance(v, int | float) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in row) for row in frame.itertuples(index=False)]
+    rows = [tuple("~" if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else f"{float(v):.5f}" if isinstance(v, int | float) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in row) for row in frame.itertuples(index=False)]
     return sorted(frame.columns), sorted(rows)
 
 
