@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,9 +35,9 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="plinth-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:  # a local session, as in tests
+        key = spark.sparkContext.applicationId
+        found = _own.get(key) or _own.setdefault(key, "file://" + tempfile.mkdtemp(prefix="plinth-shared-"))
     return found.rstrip("/")
 
 
