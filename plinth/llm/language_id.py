@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed_texts, opened, steps
+from .common import Scratch, keyed_texts, opened, picked, steps
 
 PROFILE = 400
 _BITS = 12
@@ -129,13 +129,16 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 def learn(docs: DataFrame, teaching: Column | None = None, per_language: int = 2000) -> Profiles:
     """Profiles from ``doc_id, text, lang``; ``teaching`` says which rows may teach (over the opened columns)."""
-    Scratch(docs.sparkSession, "lang")
+    scratch = Scratch(docs.sparkSession, "lang")
     rows = opened(docs, ("doc_id", "text", "lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     if teaching is not None:
         rows = rows.where(teaching)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = rows.select("doc_id", "text", "lang").join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("n")) < per_language)
-    grams = picked.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).mapInArrow(_counted, "lang string, code long, n long")
+    counts = scratch.keep(rows.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    # Ids are chosen without texts; only the chosen texts are read on, by a size-checked semi-join.
+    narrow = rows.select("doc_id", "lang").join(F.broadcast(counts) if counts.count() <= 10_000 else counts, "lang")
+    chosen = narrow.where(F.pmod(F.xxhash64("doc_id"), F.col("n")) < per_language).select("doc_id").distinct()
+    taught = picked(rows.select("doc_id", "text", "lang"), scratch.keep(chosen, "chosen"))
+    grams = taught.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).mapInArrow(_counted, "lang string, code long, n long")
     grams = grams.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     ranked = grams.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE)
