@@ -27,6 +27,8 @@ from .common import Scratch, keyed_texts, opened, picked, steps
 PROFILE = 400
 _BITS = 12
 _DIRECT = 0x600
+#: Text bytes counted at once; each takes about a hundred bytes of working memory.
+_STEP = 1 << 18
 
 
 @functools.lru_cache(1)
@@ -73,7 +75,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of ``(doc_id, text, lang)``: n-gram counts by language, of each step."""
     for batch in batches:
         at = 0
-        for ids, texts in steps(iter([batch])):
+        for ids, texts in steps(iter([batch]), _STEP):
             langs = np.array(batch.column(2).slice(at, len(ids)).to_pylist(), object)
             at += len(ids)
             text, code, count = ranked_grams(texts.to_pylist())
@@ -117,7 +119,7 @@ class Profiles:
 
 def _judged(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for ids, texts in steps(iter([batch])):
+        for ids, texts in steps(iter([batch]), _STEP):
             names, scores = profiles.judge(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -161,7 +163,7 @@ def accepted(docs: DataFrame, profiles: Profiles, least: float = 0.1) -> DataFra
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def judge(texts: pa.Array) -> pa.Array:
         names, scores = [], [np.empty(0)]
-        for _, part in steps(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()).fill_null(0), texts], ["i", "t"])])):
+        for _, part in steps(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()).fill_null(0), texts], ["i", "t"])]), _STEP):
             found = shared.value.judge(part.to_pylist())
             names += found[0]
             scores.append(found[1])

@@ -38,7 +38,8 @@ GROUPS = (8, 16, 32, 64)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary(path)).encode
+    words = encoder(vocabulary(path))
+    encode = words.encode
     close = np.array([end], "<u4").tobytes()
     chunk, held, seen = task_number() << 20, 0, np.zeros(capacity + 1, np.int64)
     for ids, texts in steps(batches):
@@ -61,6 +62,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int,
         seen += np.bincount(lengths, minlength=capacity + 1)
         columns = [pa.array(table[:, i]) for i in range(5)]
         yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), *columns[2:], pa.array(np.full(len(rows), chunk)), pa.array(nth)], ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"])
+    words.rest()
 
 
 def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:

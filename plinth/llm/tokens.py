@@ -79,6 +79,11 @@ class Encoder:
         return [b"".join(map(get, x)) for x in words]
 
 
+    def rest(self) -> None:
+        """Give the chunk cache back at a task's end: workers outlive their stage."""
+        self.chunks.clear()
+
+
 @functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
