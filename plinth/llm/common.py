@@ -25,6 +25,15 @@ from ..session import Scratch
 #: Text bytes that one vectorised step handles at once; a longer document is one step of its own.
 STEP_BYTES = 1 << 20
 
+#: Ids up to which a counted id table is broadcast to filter texts (16 MB of ids); more are joined by shuffle.
+BROADCAST_IDS = 1 << 21
+
+
+def picked(rows: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_IDS) -> DataFrame:
+    """Rows whose ``doc_id`` is among ``ids`` (or, by ``left_anti``, is not), without moving texts where ids are few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= limit else ids, "doc_id", how)
+
+
 def opened(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The same rows with every column but ``keep`` renamed by position, so that no name can clash."""
     return docs.toDF(*[c if c in keep else f"x{i}" for i, c in enumerate(docs.columns)])
@@ -179,14 +188,42 @@ def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """``(node, component)`` of an undirected edge list ``(u, v)``: the smallest node reachable.
+#: Edges up to which one task unites them (16 MB of ids); more go through distributed rounds.
+ONE_TASK_EDGES = 1 << 20
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of the task; the root of a set is its smallest node."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := up.setdefault(top, top)) != top:
+            top = above
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = [x for x in list(up) if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc", one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """``(node, component)`` of an undirected edge list ``(u, v)``: the smallest node reachable, where it is another.
 
-    Alternates large-star and small-star rewiring. Each round is two grouped minima and two joins over
-    the edges, so a hub is pre-aggregated and its join can be split; no adjacency is ever collected.
-    The edge table of each round is written, and the loop ends when its digest stops changing.
+    A counted edge list of at most ``one_task`` edges is united in one task. Beyond that, large-star and
+    small-star rewiring alternate: each round is two grouped minima and two joins over the edges, so a hub is
+    pre-aggregated and its join can be split; no adjacency is ever collected. The edge table of each round is
+    written, and the loop ends when its digest stops changing. Both ways give the same rows.
     """
     edges = scratch.keep(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), f"{name}0")
+    if edges.count() <= one_task:
+        return scratch.keep(edges.coalesce(1).mapInArrow(_united, "node long, component long"), f"{name}u")
     before = None
     turn = 0
     while True:

@@ -12,8 +12,8 @@ digest), so copies never reach the bands.
 
 Candidates. A bucket never emits all its pairs. Each bucket's hub is the member whose bands hold the most
 documents in all (the text that the others were made from shares the most bands); members are verified
-against it. What stays apart in a bucket after that goes through a second star. Documents that are still
-outside the largest component of a bucket are then joined exactly, by prefixes: shingles are ordered rare
+against it. Documents that are then still outside the largest component of a bucket are joined exactly, by
+prefixes: shingles are ordered rare
 first, and two sets with a link share a shingle among the first fifth of either, at places that leave room
 for an intersection of ``p / (1 + p) * (n1 + n2)``. Shingles that no other document in question holds (a
 compressed exchange finds them, never one too many) match nothing, so private edits use the prefix up.
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, LOWER, RunHash, Scratch, SpanHash, buffers, components, keyed_texts, list_array, mix64, signed, steps, task_number, word_spans
+from .common import _U, LOWER, RunHash, Scratch, SpanHash, buffers, components, keyed_texts, list_array, mix64, picked, signed, steps, task_number, word_spans
 from .exchange import shared_values
 
 BANDS, ROWS = 32, 4
@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     # Members with the weight that makes a hub; only documents that share a band are left here.
     banded = scratch.keep(banded.drop("crowd").join(weight, "doc_id"), "buckets")
     scratch.drop("banded")
-    suspects = banded.select("doc_id").distinct()
-    bodies = scratch.keep(texts.join(suspects, "doc_id").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, body binary, chunk long").dropDuplicates(["doc_id"]), "sets")
+    suspects = scratch.keep(banded.select("doc_id").distinct(), "suspects")
+    bodies = scratch.keep(picked(texts, suspects).mapInArrow(lambda it: _sets(it, shingle), "doc_id long, body binary, chunk long").dropDuplicates(["doc_id"]), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("doc_id").alias("u"), F.col("body").alias("a"))
@@ -183,19 +183,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         torn = rows.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
         return rows.join(torn, "bucket")
 
-    # Second star: what is outside the largest component of the bucket gets a hub of its own.
-    torn = scratch.keep(split(labelled(labels)), "torn1")
-    parts = torn.groupBy("bucket", "part").agg(F.count("*").alias("m"))
-    main = parts.groupBy("bucket").agg(F.max_by("part", F.struct("m", -F.col("part"))).alias("main"))
-    outside = torn.join(main, "bucket").where("part <> main")
-    hub = outside.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n", "part"), F.struct("weight", -F.col("doc_id"))).alias("hub"))
-    second = torn.join(hub, "bucket").where(fits & (F.col("part") != F.col("hub.part"))).select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
-    second = scratch.keep(verify(second), "star2")
-    links = scratch.keep(first.unionByName(second), "links")
-    labels = components(links, scratch, "c2")
-
-    # Whatever is still apart in a bucket: every pair across its components.
-    torn = scratch.keep(split(labelled(labels)), "torn2")
+    # Whatever is still apart in a bucket: an exact prefix join of what stands outside its largest component.
+    torn = scratch.keep(split(labelled(labels)), "torn")
     asked = bodies.join(torn.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = scratch.keep(asked, "asked")
     amount = asked.agg(F.sum(F.octet_length("body") / 8).cast("long")).first()[0] or 0
@@ -223,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     pairs = prefix.join(ours, "t").where(near & (F.col("part") != F.col("other"))).select(F.least("doc_id", "x").alias("u"), F.greatest("doc_id", "x").alias("v")).distinct()
     pairs = scratch.keep(pairs, "pairs")
     third = scratch.keep(verify(pairs), "rest")
-    labels = components(links.unionByName(third), scratch, "c3")
+    labels = components(first.unionByName(third), scratch, "c2") if not third.isEmpty() else labels
 
     final = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
     final = final.groupBy("doc_id").agg(F.min("component").alias("component"))

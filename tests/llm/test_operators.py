@@ -137,6 +137,16 @@ def test_near_duplicates_through_prefixes(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(df, 4).collect()} == label
 
 
+def test_components_both_ways(spark):
+    from plinth.llm.common import Scratch, components
+
+    draw = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in draw.integers(0, 400, (260, 2))] + [(900 + i, 901 + i) for i in range(30)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    one, many = ({r.node: r.component for r in components(edges, Scratch(spark, "cc"), "c", limit).collect()} for limit in (1 << 20, 0))
+    assert one == many and one[930] == 900
+
+
 def passage_truth(window=20):
     texts = dict(kept_rows())
     first = {}
