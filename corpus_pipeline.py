@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import language_id
-from plinth.llm.common import Scratch, opened, with_columns_of
+from plinth.llm.common import Scratch, opened, picked, with_columns_of
 from plinth.llm.decontamination import contamination
 from plinth.llm.line_dedup import without_repeated_lines
 from plinth.llm.near_dedup import near_duplicates
@@ -32,21 +32,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the given ids (``id``); rows without an id stay."""
-    rows = opened(docs)
-    return rows.join(ids, rows["doc_id"] == ids["id"], "left_anti").toDF(*docs.columns)
+    """``docs`` but for the given ids; rows without an id stay."""
+    return picked(opened(docs), ids, "left_anti").select(opened(docs).columns).toDF(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays (five-word shingles, 0.8)."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return _without(docs, Scratch(spark, "near-gone").keep(gone, "ids"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth or more go."""
     judged = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = judged.where("contaminated").select(F.col("doc_id").alias("id")).distinct()
+    gone = judged.where("contaminated").select("doc_id").distinct()
     return _without(docs, Scratch(spark, "bench-gone").keep(gone, "ids"))
 
 
