@@ -1,12 +1,12 @@
 """Licence scan by a positional rare-token index, in native column expressions throughout.
 
 Templates are short word sequences with a label; some are base phrases, which must match whole. Words of
-templates have an IDF over the whole corpus (one grouped count). The index posts each template under its
-highest-IDF word, with the relative position of every template word. A file looks up those of its words that
-are posted - its rarest licence words - and each posting proposes a start; the template's words are then
-intersected with the file's words by relative position. A proposal stands when the share of words in place
-reaches the template's threshold and its mandatory key phrase is in place whole. Any place of a template with
-all its words holds its posted word, so no whole place is missed and no count is capped.
+templates have an IDF over the whole corpus (one grouped count). The index posts each template under the
+highest-IDF word of its mandatory key phrase, with the relative position of every template word. A file looks
+up those of its words that are posted and each posting proposes a start; the template's words are then
+intersected with the file's words by relative position. A proposal stands when it starts in the file, the
+share of words in place reaches the template's threshold and the key phrase is in place whole. So any place
+that stands holds its posted word: none is missed, whichever other words differ, and no count is capped.
 
 Results by case: null or empty text: no words, no labels, score 0; overlapping and repeated places all count;
 very long texts are whole; repeated rows give a row each; an empty table gives no rows.
@@ -63,7 +63,7 @@ def licence_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE)
     """``(doc_id, n_words, base (array of starts), base_labels, labels, score, places)`` for every row of ``docs``.
 
     ``places`` holds ``(label, start, share)`` of everything that stands; ``score`` is the largest share times
-    the looked-up word's IDF relative to the largest IDF, so that it is in [0, 1].
+    the IDF of the template's rarest word relative to the largest IDF, so that it is in [0, 1].
     """
     spark = docs.sparkSession
     Scratch(spark, "licence")
@@ -77,10 +77,11 @@ def licence_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + MORE)
     posted = []
     for number, t in enumerate(templates):
         parts = t.text.split()
-        at = max(range(len(parts)), key=lambda i: (idf[parts[i]], parts[i], -i))
         key = t.key.split() or parts
         offset = next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
-        posted.append((number, parts[at], t.label, parts, at, offset, key, float(t.share), t.base, idf[parts[at]] / top))
+        # Only key words are sure to stand; any other word may be the one that differs.
+        at = max(range(offset, offset + len(key)), key=lambda i: (idf[parts[i]], parts[i], -i))
+        posted.append((number, parts[at], t.label, parts, at, offset, key, float(t.share), t.base, max(idf[w] for w in parts) / top))
     index = spark.createDataFrame(posted, "template int, word string, label string, parts array<string>, at int, offset int, key array<string>, least double, base boolean, weight double")
     rare = sorted({p[1] for p in posted})
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.llm import golomb, language_id, packing, quality, sharding
+from plinth.llm import golomb, language_id, licenses, packing, quality, sharding
 from plinth.llm.common import SpanHash, word_spans
 from plinth.llm.decontamination import contamination
 from plinth.llm.exact_dedup import exact_duplicates
@@ -215,6 +215,29 @@ def test_licence_scan(docs, empty):
     assert licence_scan(empty).count() == 0
 
 
+def test_licence_scan_any_word_changed(spark):
+    texts, want = [], {}
+    for t in licenses.MORE:
+        parts, key = t.text.split(), t.key.split() or t.text.split()
+        offset = next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
+        for at in range(len(parts)):
+            n = len(texts)
+            texts.append((n, " ".join(["before", *parts[:at], "changed", *parts[at + 1 :], "after"])))
+            kept = not offset <= at < offset + len(key) and len(parts) - 1 >= t.share * len(parts)
+            want[n] = (t.label, kept, (len(parts) - 1) / len(parts))
+    got = {r.doc_id: r for r in licences_of(spark, texts)}
+    for n, (label, kept, share) in want.items():
+        places = [(p["label"], p["start"], p["share"]) for p in got[n].places]
+        assert ((label, 1, share) in places) == kept, texts[n]
+    # The rarest words of the opening stand nowhere else, so the corpus alone would post one of them.
+    short = "Permission is hereby granted, free of charge, to any person obtaining a copy of this program"
+    assert [r.labels for r in licences_of(spark, [(1, short), (2, "free software"), (3, None)])] == ["mit", "", ""]
+
+
+def licences_of(spark, texts):
+    return licence_scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()
+
+
 def test_packing(docs, empty):
     out = packed_sequences(docs).toPandas()
     encode = encoder(vocabulary(None)).encode
