@@ -170,18 +170,28 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, resolved_imports: DataFr
     return calls.join(best, at, "left")
 
 
-def constructors(symbols: DataFrame, max_depth: int = 16) -> DataFrame:
-    """``(class_id, ctor_id)``: a class's own constructor, else the nearest along its bases. Cycles end at the depth."""
+def constructors(symbols: DataFrame, *keys: str, names: tuple[str, ...] = ("__init__", "constructor", "new")) -> DataFrame:
+    """``(class_id, ctor_id)``: a class's own constructor, else that of the first base, in order, that leads to one.
+
+    Each base is followed to its end before the next counts: of a class's ways up, the smallest list of base
+    places wins. A way enters no class twice, so cycles end; a class without any constructor has no row.
+    """
     scratch = Scratch(symbols.sparkSession, "ctor")
     classes = symbols.where(F.col("kind").isin("class", "struct"))
-    own = symbols.where(F.col("name").isin("__init__", "constructor", "new")).select(F.regexp_replace("symbol_id", r"\.[^.]+$", "").alias("class_id"), F.col("symbol_id").alias("ctor_id"))
-    by_name = name_index(classes).withColumnRenamed("symbol_id", "base_id")
-    up = classes.select("symbol_id", F.posexplode("bases").alias("n", "base")).withColumn("key", last_segment(F.col("base"))).join(by_name, "key").groupBy("symbol_id").agg(F.min_by("base_id", "n").alias("base_id"))
-    found = scratch.keep(classes.select(F.col("symbol_id").alias("class_id")).join(own, "class_id", "left_semi").join(own, "class_id"), "found0")
-    for depth in range(1, max_depth + 1):
-        more = up.withColumnRenamed("symbol_id", "class_id").join(found.withColumnRenamed("class_id", "base_id"), "base_id").join(found.select("class_id"), "class_id", "left_anti").select("class_id", "ctor_id")
-        more = scratch.keep(more, f"more{depth}")
-        if more.isEmpty():
-            break
-        found = scratch.keep(found.unionByName(more), f"found{depth}")
-    return found
+    own = symbols.where(F.col("name").isin(*names)).select(*keys, F.regexp_replace("symbol_id", r"\.[^.]+$", "").alias("at"), F.col("symbol_id").alias("ctor_id"), F.array_position(F.array(*map(F.lit, names)), F.col("name")).alias("rank"))
+    own = scratch.keep(own.groupBy(*keys, "at").agg(F.min_by("ctor_id", F.struct("rank", "ctor_id")).alias("ctor_id")), "own")
+    by_name = name_index(classes, *keys).withColumnRenamed("symbol_id", "base_id")
+    up = classes.select(*keys, F.col("symbol_id").alias("at"), F.posexplode("bases").alias("n", "base")).withColumn("key", last_segment(F.col("base"))).join(by_name, [*keys, "key"]).select(*keys, "at", "n", "base_id").distinct()
+    up = scratch.keep(up.join(own, [*keys, "at"], "left_anti"), "up")
+    ways = classes.select(*keys, F.col("symbol_id").alias("class_id"), F.col("symbol_id").alias("at"), F.array().cast("array<int>").alias("way"), F.array("symbol_id").alias("seen")).distinct()
+    ways = scratch.keep(ways, "ways0")
+    found, step = ways.join(own, [*keys, "at"]).select(*keys, "class_id", "way", "ctor_id"), 0
+    while not ways.isEmpty():
+        step += 1
+        more = ways.join(up, [*keys, "at"]).where(~F.array_contains("seen", F.col("base_id")))
+        more = more.select(*keys, "class_id", F.col("base_id").alias("at"), F.array_append("way", F.col("n")).alias("way"), F.array_append("seen", F.col("base_id")).alias("seen"))
+        # Ways of one length to one class go on alike, so the smallest stands for all.
+        more = more.groupBy(*keys, "class_id", "at").agg(F.min_by(F.struct("way", "seen"), F.struct("way", "seen")).alias("best")).select(*keys, "class_id", "at", "best.way", "best.seen")
+        ways = scratch.keep(more, f"ways{step}")
+        found = found.unionByName(ways.join(own, [*keys, "at"]).select(*keys, "class_id", "way", "ctor_id"))
+    return found.groupBy(*keys, "class_id").agg(F.min_by("ctor_id", "way").alias("ctor_id"))

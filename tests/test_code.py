@@ -96,6 +96,14 @@ def test_constructors_through_bases_and_cycles(spark):
     assert {(r.class_id, r.ctor_id) for r in index.constructors(code.symbols(code.extract(files))).collect()} == {("a::A", "a::A.__init__"), ("a::B", "a::A.__init__"), ("a::C", "a::A.__init__")}
 
 
+def test_constructors_try_every_base_in_order(spark):
+    deep = "".join(f"class D{i}(D{i - 1}): pass\n" for i in range(1, 21))
+    files = workspace(spark, a="class A: pass\nclass B:\n    def __init__(self, x): pass\nclass X:\n    def __init__(self): pass\nclass AX(X): pass\nclass C(A, B): pass\nclass E(AX, B): pass\nclass F(A): pass\nclass D0(B): pass\nclass P(Q, X): pass\nclass Q(P): pass\n" + deep)
+    got = {r.class_id[3:]: r.ctor_id[3:] for r in index.constructors(code.symbols(code.extract(files))).collect()}
+    want = {"B": "B.__init__", "X": "X.__init__", "AX": "X.__init__", "C": "B.__init__", "E": "X.__init__", "P": "X.__init__", "Q": "X.__init__"}
+    assert got == want | {f"D{i}": "B.__init__" for i in range(21)}
+
+
 def test_patches():
     old = "a\nb\nc\nd\n"
     diff = "--- x\n+++ x\n@@ -2,2 +2,3 @@\n-b\n+B\n+B2\n c\n"
