@@ -6,7 +6,7 @@ shared base rows), so no patch copies the workspace. Patches whose files do not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -20,6 +20,8 @@ from . import graph, index
 
 #: Fixed value: kinds whose signatures are contracts.
 CALLABLE = ("function", "async_function", "method")
+#: Fixed value: names of what a call of a class calls.
+CONSTRUCTORS = ("__init__", "constructor")
 
 
 def check_call(call: dict[str, Any], name: str, params: list[dict[str, Any]], is_method: bool) -> list[str]:
@@ -63,6 +65,34 @@ def _contracts(pairs: DataFrame) -> DataFrame:
     return once.mapInArrow(_checked, "patch_id string, violation string")
 
 
+def _entered(wanted: DataFrame, old_symbols: DataFrame, new_symbols: DataFrame, outside: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """``(patch_id, class_id, name, params, is_method)``: the constructors of the ``wanted`` classes, in each patch's own workspace.
+
+    Only the classes that bases lead to by name are gathered, not the workspace of each patch.
+    """
+
+    def named(keys: DataFrame) -> DataFrame:
+        return outside(old_symbols.join(keys, "name")).unionByName(new_symbols.join(keys, ["patch_id", "name"]), allowMissingColumns=True)
+
+    names = scratch.keep(wanted.select("patch_id", "name").distinct(), "ctor_names0")
+    asked, family, step = names, wanted, 0
+    while not names.isEmpty():
+        step += 1
+        more = scratch.keep(named(names).where("kind = 'class'"), f"ctor_classes{step}")
+        family = more if step == 1 else family.unionByName(more)
+        names = more.select("patch_id", F.explode("bases").alias("base")).select("patch_id", last_segment(F.col("base")).alias("name")).distinct()
+        names = scratch.keep(names.join(asked, ["patch_id", "name"], "left_anti"), f"ctor_names{step}")
+        asked = asked.unionByName(names)
+    homes = family.select("patch_id", F.col("symbol_id").alias("home")).distinct()
+    own_of = lambda rows: rows.where(F.col("name").isin(*CONSTRUCTORS)).withColumn("home", F.regexp_replace("symbol_id", r"\.[^.]+$", ""))
+    own = outside(own_of(old_symbols).join(homes, "home")).unionByName(own_of(new_symbols).join(homes, ["patch_id", "home"]), allowMissingColumns=True)
+    own = scratch.keep(own.drop("home"), "ctor_own")
+    found = index.constructors(family.unionByName(own, allowMissingColumns=True), "patch_id", names=CONSTRUCTORS)
+    # Of repeated definitions the last one holds.
+    last = own.groupBy("patch_id", F.col("symbol_id").alias("ctor_id")).agg(F.max_by(F.struct(F.col("qualname").alias("name"), "params", "is_method"), "sym_ord").alias("s"))
+    return found.join(last, ["patch_id", "ctor_id"]).select("patch_id", "class_id", "s.*")
+
+
 def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame) -> DataFrame:
     """``(patch_id, status, confidence, violations, cycles)`` for every patch of ``located`` (see ``patches.locate``)."""
     spark = located.sparkSession
@@ -105,6 +135,13 @@ def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame) -> DataFra
     callee = lookup.where(F.col("kind").isin(*CALLABLE)).select("patch_id", F.col("symbol_id").alias("target_id"), F.col("qualname").alias("name"), "params", "is_method")
     violations = violations.unionByName(_contracts(made.join(callee, ["patch_id", "target_id"])))
 
+    # A class is called by its constructor, own or of a base; one without takes no arguments.
+    made_classes = lookup.where("kind = 'class'").join(made.select("patch_id", F.col("target_id").alias("symbol_id")).distinct(), ["patch_id", "symbol_id"], "left_semi")
+    entered = _entered(made_classes, old_symbols, new_symbols, outside, scratch)
+    taken = made_classes.select("patch_id", F.col("symbol_id").alias("target_id"), "qualname").distinct().join(entered.withColumnRenamed("class_id", "target_id"), ["patch_id", "target_id"], "left")
+    taken = taken.select("patch_id", "target_id", F.coalesce("name", "qualname").alias("name"), "params", F.coalesce("is_method", F.lit(False)).alias("is_method"))
+    violations = violations.unionByName(_contracts(made.join(taken, ["patch_id", "target_id"])))
+
     # Deleted symbols that are still called or imported elsewhere.
     gone = fine.select("patch_id", "file_path", F.explode("deleted").alias("qualname")).withColumn("short", last_segment(F.col("qualname"))).withColumnRenamed("file_path", "home")
     gone_keys = gone.withColumn("key", F.explode(F.array_distinct(F.array("qualname", "short"))))

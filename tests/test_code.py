@@ -123,6 +123,24 @@ def test_verify(spark):
     assert "N0: shop/prices.py::price_of" in got["diff"].input_dsl and got["required-parameter"].active_categories[0] == "BreakingPublicAPI"
 
 
+def test_verify_calls_of_classes(spark):
+    files = workspace(spark, **{
+        "base.py": "class Base:\n    def __init__(self, x, *, unit='m'): pass\n", "lib.py": "from base import Base\n\nclass Plain:\n    pass\n\nclass Child(Plain, Base):\n    pass\n",
+        "use.py": "from lib import Child, Plain\n\ndef make():\n    return 1\n", "box.ts": "export class Box {\n  constructor(size: number) {}\n}\n", "ship.ts": "import { Box } from './box';\nexport function pack() {\n  return 1;\n}\n",
+    })
+    use, ship = "from lib import Child, Plain\n\ndef make():\n    return {}\n", "import {{ Box }} from './box';\nexport function pack() {{\n  return {};\n}}\n"
+    calls = {"right": "Child(1, unit='k')", "bare": "Plain()", "open": "Child(*rest)", "missing": "Child()", "extra": "Child(1, 2)", "unknown": "Child(1, size=2)", "plain": "Plain(1)", "plain-name": "Plain(x=1)"}
+    rows = [(k, "use.py", use.format(v), False) for k, v in calls.items()] + [("ts", "ship.ts", ship.format("new Box(1)"), False), ("ts-extra", "ship.ts", ship.format("new Box(1, 2)"), False)]
+    # The patch's own constructor counts, not the one it replaces.
+    rows += [("both", "use.py", use.format("Child(1, 2)"), False), ("both", "base.py", "class Base:\n    def __init__(self, x, y): pass\n", False)]
+    changes = spark.createDataFrame(rows, Q.changes(spark).schema)
+    got = {r.patch_id: r for r in verify.verify(files, changes).collect()}
+    assert {k for k, r in got.items() if r.status == "APPROVED"} == {"right", "bare", "open", "ts", "both"}
+    said = {k: " ".join(r.violations) for k, r in got.items()}
+    assert "Base.__init__': required 'x'" in said["missing"] and "2 positional arguments, at most 1" in said["extra"] and "unexpected keyword 'size'" in said["unknown"]
+    assert "'Plain': 1 positional arguments, at most 0" in said["plain"] and "unexpected keyword 'x'" in said["plain-name"] and "ARITY" in said["ts-extra"]
+
+
 def test_linearise_keeps_its_budget():
     node = {"node": "f::n", "name": "n" * 5, "signature": "def n(a, b, c)", "truncated": False}
     row = {"file_path": "f", "affected": ["n0"], "added": [], "deleted": [], "old_lines": [], "new_lines": list(range(1, 9)), "status": "REJECTED", "confidence": 0.95, "cycles": [], "violations": ["x y z"] * 5, "edges": []}
