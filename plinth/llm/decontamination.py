@@ -10,7 +10,8 @@ count. A document's hit words are the union of all such windows.
 
 The benchmark's fingerprints are broadcast only while the counted benchmark is under ``broadcast_bytes``;
 then documents are read once and nothing but hits is shuffled. Beyond that the fingerprints are joined by
-shuffle, without texts, and only the documents hit are joined to their words.
+shuffle, without texts, and only the rows hit are joined to their words, by id and a hash of the words; so rows
+that share an id are judged apart there too, and rows alike in both are judged alike.
 
 Cases: null text has no words (0 hit, clean); an item without words or id is no item; an empty benchmark
 leaves all clean; repeated rows give a row each, repeated items count once; very long texts are whole (a
@@ -86,7 +87,7 @@ def _verdict(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", zero, lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), (a["hit"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("hit")))
-    return grouped.select("doc_id", "n_words", covered["hit"].alias("n_hit"), "items")
+    return grouped.select(*keys, "n_words", covered["hit"].alias("n_hit"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 32 << 20, percent: int = 5) -> DataFrame:
@@ -114,13 +115,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
         marked = traced.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "n_words", "w", F.explode(F.concat("marks", F.array(F.lit(own).cast("long")))).alias("e"))
         hits = marked.select("doc_id", "row", "n_words", "w", value, place).join(F.broadcast(table), "value")
         checked = hits.select("doc_id", "row", "n_words", "item_id", "width", _starts().alias("starts"))
-        out = _verdict(checked, ["doc_id", "row"])
+        out = _verdict(checked, ["doc_id", "row"]).drop("row")
     else:
-        found = traced.select("doc_id", F.explode("marks").alias("e")).select("doc_id", value, place).join(index.drop("windows"), "value")
-        found = scratch.keep(found.select("doc_id", "item_id", "width", "back", "place").distinct(), "hits")
-        mine = rows.join(found, "doc_id").join(items.select("item_id", F.col("w").alias("u"), "m"), "item_id").where((F.col("m") == F.col("width")) | ((F.col("m") >= WINDOW) & (F.col("width") == WINDOW)))
+        row = F.xxhash64("w").alias("row")
+        found = traced.select("doc_id", row, F.explode("marks").alias("e")).select("doc_id", "row", value, place).join(index.drop("windows"), "value")
+        found = scratch.keep(found.select("doc_id", "row", "item_id", "width", "back", "place").distinct(), "hits")
+        rows = rows.select("doc_id", row, "n_words", "w")
+        mine = rows.join(found, ["doc_id", "row"]).join(items.select("item_id", F.col("w").alias("u"), "m"), "item_id").where((F.col("m") == F.col("width")) | ((F.col("m") >= WINDOW) & (F.col("width") == WINDOW)))
         wide = F.transform(F.sequence(F.lit(1), F.size("u") - F.col("width") + 1), lambda i: F.concat_ws(" ", F.slice("u", i, F.col("width"))))
-        checked = mine.withColumn("windows", wide).select("doc_id", "n_words", "item_id", "width", _starts().alias("starts"))
-        out = rows.select("doc_id", "n_words").join(_verdict(checked, ["doc_id"]).drop("n_words"), "doc_id", "left")
+        checked = mine.withColumn("windows", wide).select("doc_id", "row", "n_words", "item_id", "width", _starts().alias("starts"))
+        out = rows.select("doc_id", "row", "n_words").join(_verdict(checked, ["doc_id", "row"]).drop("n_words"), ["doc_id", "row"], "left")
         out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))

@@ -205,6 +205,16 @@ def test_contamination(spark, docs, empty, limit):
     assert contamination(docs, bench.limit(0), limit).where("contaminated").count() == 0
 
 
+def test_contamination_judges_rows_of_one_id_apart(spark, docs):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    item = BENCH[0][1]
+    more = spark.createDataFrame([(1, item), (70, item), (70, "a clean text"), (70, "a clean text"), (70, None)], "doc_id long, text string")
+    source, columns = docs.select("doc_id", "text").unionByName(more), ("doc_id", "n_words", "n_hit", "items", "contaminated")
+    near, far = (table(contamination(source, bench, limit), *columns) for limit in (32 << 20, -1))
+    assert near == far and len(far) == len(kept_rows()) + 5
+    assert [x[1:3] + x[4:] for x in far if x[0] == 70] == [(0, 0, False), (3, 0, False), (3, 0, False), (22, 22, True)]
+
+
 def test_licence_scan(docs, empty):
     got = {r.doc_id: r for r in licence_scan(docs).collect()}
     for i, t in kept_rows():
