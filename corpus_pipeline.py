@@ -21,7 +21,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or near to no language's profile, go."""
+    """Documents without letters, or near to no language's profile, go; without any labelled text, only the former."""
     return language_id.accepted(docs, language_id.learn(docs))
 
 

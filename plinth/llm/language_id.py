@@ -153,23 +153,30 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return keyed_texts(docs).mapInArrow(lambda it: _judged(it, shared.value), "doc_id long, lang_pred string, score double")
 
 
+def _lettered(texts: list[str]) -> np.ndarray:
+    out = np.zeros(len(texts), bool)
+    out[ranked_grams(texts)[0]] = True
+    return out
+
+
 def accepted(docs: DataFrame, profiles: Profiles, least: float = 0.1) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has letters and comes as near to a profile as ``least``.
 
-    Rejected are ``und`` and scores below ``least`` (hardly an n-gram in common with any profile).
+    Rejected are letterless texts and scores below ``least`` (hardly an n-gram in common with any profile). Without
+    any profile nothing can be compared, and only letterless texts are rejected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lettered: boolean, score: double>")
     def judge(texts: pa.Array) -> pa.Array:
-        names, scores = [], [np.empty(0)]
+        lettered, scores = [np.empty(0, bool)], [np.empty(0)]
         for _, part in steps(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()).fill_null(0), texts], ["i", "t"])]), _STEP):
-            found = shared.value.judge(part.to_pylist())
-            names += found[0]
-            scores.append(found[1])
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+            names, score = shared.value.judge(part.to_pylist())
+            lettered.append(np.array(names) != "und" if shared.value.names else _lettered(part.to_pylist()))
+            scores.append(score if shared.value.names else np.ones(len(part)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(lettered)), pa.array(np.concatenate(scores))], ["lettered", "score"])
 
     rows = opened(docs)
     verdict = rows.withColumn("verdict", judge(F.col("text").cast("string")))
-    kept = verdict.where((F.col("verdict.lang_pred") != "und") & (F.col("verdict.score") >= least)).drop("verdict")
+    kept = verdict.where(F.col("verdict.lettered") & (F.col("verdict.score") >= least)).drop("verdict")
     return kept.toDF(*docs.columns)

@@ -33,6 +33,13 @@ def test_stages(spark, tmp_path):
     assert sorted({r.doc_id for r in out.collect()}) == kept[-1]
 
 
+def test_language_without_labels(spark):
+    texts = [(1, "plain words here"), (2, "123 %%%"), (3, None), (4, ""), (5, "Ünïcödé"), (None, "no id"), (1, "plain words here")]
+    docs = spark.createDataFrame([(i, t, None, 7) for i, t in texts], "doc_id long, text string, lang string, size int")
+    out = pipeline.language(spark, docs, "")
+    assert out.columns == docs.columns and sorted((r.text, r.size) for r in out.collect()) == [("no id", 7), ("plain words here", 7), ("plain words here", 7), ("Ünïcödé", 7)]
+
+
 def test_stage_contract():
     assert [n for n, _ in pipeline.STAGES] == ["language", "lines", "near", "decontaminated", "packed"]
 
