@@ -1,7 +1,8 @@
 """Five corpus stages, each on all that the one before it kept, written as Parquet in between.
 
 ``STAGES`` lists ``(name, function)``; every function takes ``(spark, docs, sf_dir)``. All but the last return
-the columns of ``docs``. ``run`` applies them to the ``documents`` table. The result (packed sequences of what
+the columns of ``docs``, and keep rows without an id but where their text alone rejects them; packing, which
+names documents by id, leaves those rows out. ``run`` applies them to the ``documents`` table. The result (packed sequences of what
 is left) is nothing that SQL can say, so ``ORACLE_SQL`` is None and the tests hold it against brute force.
 """
 
@@ -26,9 +27,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go but for their first document; ``n_chars`` follows the text."""
+    """Repeated lines go but for their first document; ``n_chars`` follows the text. Rows without an id stay as they are."""
     out = with_columns_of(docs, without_repeated_lines(docs))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
+    out = out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in out.columns else out
+    rest = opened(docs).where("doc_id is null")
+    return out.union(rest.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).toDF(*docs.columns))
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -40,6 +40,16 @@ def test_language_without_labels(spark):
     assert out.columns == docs.columns and sorted((r.text, r.size) for r in out.collect()) == [("no id", 7), ("plain words here", 7), ("plain words here", 7), ("Ünïcödé", 7)]
 
 
+def test_lines_keep_rows_without_id(spark):
+    line = "A line that stands in two documents."
+    texts = [(1, f"{line}\nfirst"), (2, f"{line}\nsecond"), (None, f"{line}\nno id"), (None, f"{line}\nno id"), (None, None)]
+    docs = spark.createDataFrame([(t and "en", t, i, 99) for i, t in texts], "lang string, text string, doc_id int, n_chars int")
+    out = pipeline.lines(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, f"{line}\nfirst", 42), (2, "second", 6), (None, f"{line}\nno id", 99), (None, None, 99)}
+    assert out.where("doc_id is null").count() == 3
+
+
 def test_stage_contract():
     assert [n for n, _ in pipeline.STAGES] == ["language", "lines", "near", "decontaminated", "packed"]
 
