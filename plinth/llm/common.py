@@ -12,6 +12,10 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +69,14 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterato
             base, at = ends[to - 1], to
 
 
+def settle() -> None:
+    """Give freed memory back to the system at a task's end; Python workers outlive their stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts on end, and the offset of each text in them (one more than texts)."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -89,58 +101,70 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = self._run(self.base, 1024), self._run(self.inverse, 1024)
-
-    @staticmethod
-    def _run(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, _U)
-        out[0] = 1
-        return np.cumprod(out, dtype=_U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            m = 1 << n.bit_length()
-            self.up, self.down = self._run(self.base, m), self._run(self.inverse, m)
-        return self.up, self.down
+#: Spans above so many bytes are hashed one by one.
+_LONG = 512
+_MULTIPLIER = _U(0x9E6C63D0876A9A47)
 
 
 class SpanHash:
-    """64-bit polynomial hashes of byte spans: random byte values, prefix sums, a final mix."""
+    """64-bit hashes of byte spans: the length, then eight bytes a turn, through a non-linear mixer.
+
+    Every turn mixes, so unlike a polynomial's terms the bytes of a structured text cannot cancel out.
+    """
 
     def __init__(self, seed: int):
-        draw = np.random.default_rng(seed)
         self.seed = seed
-        self.values = draw.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-        self.powers = Powers(int(draw.integers(1 << 40, 1 << 62)) * 4 + 3)
+        self.key = seed.to_bytes(8, "little")
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self.powers.get(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.values[data] * up[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        return mix64(h ^ ((ends - starts).astype(_U) * _U(0xA0761D6478BD642F)), self.seed)
+        size = ends - starts
+        out = mix64(size.astype(_U), self.seed + 1)
+        body = np.append(data, np.zeros(8, np.uint8))
+        eight = np.ndarray((len(data) + 1,), "<u8", body, strides=(1,))
+        live = np.flatnonzero((size > 0) & (size <= _LONG))
+        at, left, h = starts[live], size[live], out[live]
+        while len(live):
+            block = eight[at] & _HEADS[np.minimum(left, 8)]
+            h = mix64(h ^ block, self.seed)
+            done = left <= 8
+            out[live[done]] = h[done]
+            going = ~done
+            live, at, left, h = live[going], at[going] + 8, left[going] - 8, h[going]
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=self.key).digest(), "little")
+        return out
+
+
+#: Masks of the first 0 to 8 bytes of a little-endian block.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 class RunHash:
-    """Hashes of every run of ``k`` consecutive values, by prefix sums over the whole step."""
+    """Hashes of every run of ``k`` consecutive values: runs double in width, each doubling mixes."""
 
     def __init__(self, seed: int):
         self.seed = seed
-        self.powers = Powers(int(np.random.default_rng(seed + 77).integers(1 << 40, 1 << 62)) * 4 + 3)
 
     def __call__(self, values: np.ndarray, k: int) -> np.ndarray:
         n = len(values) - k + 1
         if n <= 0:
             return np.empty(0, _U)
-        up, down = self.powers.get(len(values) + 1)
-        sums = np.zeros(len(values) + 1, _U)
-        np.cumsum(values * up[: len(values)], out=sums[1:])
-        return mix64((sums[k:] - sums[:-k]) * down[:n], self.seed ^ k)
+        run, width, done, covered = values, 1, None, 0
+        while width <= k:
+            if k & width:
+                part = run[covered : covered + n]
+                done = part if done is None else mix64(done * _MULTIPLIER + part, self.seed)
+                covered += width
+            if 2 * width <= k:
+                run = mix64(run[:-width] * _MULTIPLIER + run[width:], self.seed)
+            width *= 2
+        return mix64(done, self.seed ^ k)
+
+
+def digests(body: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2b digests of byte spans, as rows of two integers; no two texts with one digest are known."""
+    found = [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), _U).reshape(-1, 2)
 
 
 #: The bytes 0x20 and 0x09-0x0D, which part words and frame lines.

@@ -145,9 +145,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     every = scratch.keep(texts.mapInArrow(lambda it: _digest(it, shingle), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "digests")
 
     # One class for each distinct set; its bands come from any of its equal members.
-    classes = every.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(every.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")), "classes")
     owner = every.where("n_shingles > 0").select("doc_id", "f1", "f2", "n_shingles")
-    member = scratch.keep(owner.join(classes, ["f1", "f2"]).select("doc_id", "rep", "n_shingles").distinct(), "members")
+    # Sets of more than a thousandth of all rows are fewer than a thousand: their members learn the class without a shuffle.
+    hot = F.col("held") * 1000 > (classes.agg(F.sum("held")).first()[0] or 0)
+    crowd = F.broadcast(classes.where(hot & (F.col("held") > 1)).select("f1", "f2", F.col("rep").alias("crowd")))
+    others = classes.where(~hot & (F.col("held") > 1)).select("f1", "f2", "rep")
+    owner = owner.join(crowd, ["f1", "f2"], "left")
+    mates = owner.where("crowd is null").join(others, ["f1", "f2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n_shingles")
+    member = mates.unionByName(owner.where("crowd is not null").select("doc_id", F.col("crowd").alias("rep"), "n_shingles"))
+    member = scratch.keep(member.distinct(), "members")
     reps = every.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"])
 
     banded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value"))

@@ -6,11 +6,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from plinth.llm import golomb, language_id, licenses, packing, quality, sharding
-from plinth.llm.common import SpanHash, word_spans
+from plinth.llm.common import RunHash, SpanHash, word_spans
 from plinth.llm.decontamination import contamination
 from plinth.llm.exact_dedup import exact_duplicates
 from plinth.llm.licenses import licence_scan
@@ -198,9 +199,8 @@ def test_contamination(spark, docs, empty, limit):
                     hit[j : j + n] = [1] * n
         want.append((i, len(w), sum(hit), sorted(items), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    source = docs if limit > 0 else docs.dropDuplicates(["doc_id"])
-    got = table(contamination(source, bench, limit), "doc_id", "n_words", "n_hit", "items", "contaminated")
-    assert got == (sorted(want) if limit > 0 else sorted({x[0]: x for x in want}.values()))
+    got = table(contamination(docs, bench, limit), "doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert got == sorted(want)
     assert contamination(empty, bench, limit).count() == 0
     assert contamination(docs, bench.limit(0), limit).where("contaminated").count() == 0
 
@@ -286,6 +286,23 @@ def test_token_cache_equals_whole_texts():
         assert whole.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist()
 
 
+def test_shards_are_near_equal(spark):
+    """The law ``bytes``: with groups that are small against a shard, sizes differ by less than a small group."""
+    draw = np.random.default_rng(8)
+    texts = [(i, "x" * int(n)) for i, n in enumerate(draw.integers(1, 900, 3000))] + [(5000 + i, "y" * 300) for i in range(1000)]
+    out = balanced_shards(spark.createDataFrame(texts, "doc_id long, text string"), 8).toPandas()
+    loads = out.groupby("shard")["size"].sum()
+    group = {t: sum(len(x) + 1 for _, x in texts if x == t) for _, t in texts}
+    mean = sum(group.values()) / 8
+    biggest = max(group.values())
+    # The one group that outweighs the mean share is a shard of its own; the others share the rest evenly.
+    assert loads.max() == max(biggest, loads.max()) and (biggest <= mean or loads.drop(loads.idxmax()).max() - loads.drop(loads.idxmax()).min() <= 1000)
+    small = balanced_shards(spark.createDataFrame([(i, "x" * int(n)) for i, n in enumerate(draw.permutation(3000) + 1)], "doc_id long, text string"), 8).toPandas()
+    loads = small.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() - loads.min() <= 8
+    assert set(out.law) == {"bytes"} and out.grown_shard.isna().all()
+
+
 def test_sharding(docs, empty):
     out = balanced_shards(docs, 4).toPandas()
     assert len(out) == len(kept_rows())
@@ -320,6 +337,64 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language_id.identify(asked, language_id.learn(empty)).collect()} == {"und"}
 
 
+def grams_truth(text):
+    """N-grams of a text with their counts, by reading it letter by letter."""
+    table = language_id._letters()
+    code = [0, *(int(table[ord(c)]) for c in text), 0]
+    counts = defaultdict(int)
+    for i in range(1, len(code)):
+        if code[i]:
+            counts[(1 << 36) | code[i]] += 1
+            counts[(3 << 36) | code[i - 1] << 24 | code[i] << 12 | code[i + 1]] += 1
+        if code[i] or code[i - 1]:
+            counts[(2 << 36) | code[i - 1] << 12 | code[i]] += 1
+    return sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_language_by_recounted_distances(monkeypatch):
+    texts = ["bada gado", "", "x", "Ünïcödé wörds, 12 more; wörds", "bada " * 60 + "daba", "数 字 abc " * 9, "..!"]
+    for window in (1 << 17, 7):  # windows of any size count alike
+        monkeypatch.setattr(language_id, "_POINTS", window)
+        number, code, count = language_id.ranked_grams(texts)
+        for i, t in enumerate(texts):
+            assert list(zip(code[number == i].tolist(), count[number == i].tolist(), strict=True)) == grams_truth(t)
+    taught = {"aa": "bada gado daba goda " * 3, "bb": "wörds more cödé abc", "cc": "bada gado daba goda " * 3}
+    ranks = {k: {c: i for i, (c, _) in enumerate(grams_truth(t)[: language_id.PROFILE])} for k, t in taught.items()}
+    profiles = language_id.Profiles([(k, c, i) for k, r in ranks.items() for c, i in r.items()])
+    names, scores = profiles.judge(texts)
+    for t, name, score in zip(texts, names, scores.tolist(), strict=True):
+        own = grams_truth(t)[: language_id.PROFILE]
+        if not own:
+            assert (name, score) == ("und", 0)
+            continue
+        away = {k: sum(abs(r[c] - i) if c in r else language_id.PROFILE for i, (c, _) in enumerate(own)) for k, r in ranks.items()}
+        best = min(sorted(away), key=away.get)  # ties: the first name
+        assert name == best and abs(score - (1 - away[best] / (language_id.PROFILE * len(own)))) < 1e-12
+
+
+def test_quality_score_recomputed():
+    """A score by plain loops over passages, attention and the scorer."""
+    draw = np.random.default_rng(6)
+    texts = ["one two three " * 40, "", "Short.", "a b c d " * 25 + "END"]
+    figures, edges = quality.passages(pa.array(texts, pa.large_string()))
+    assert np.diff(edges).tolist() == [3, 1, 1, 3]
+    model = quality.fit(figures, edges, np.array([1, 0, 0, 1], np.float32), rounds=5)
+    w = model.weights
+    got = model.score(figures, edges)
+    for i in range(len(texts)):
+        coded, energy = [], []
+        for row in figures[edges[i] : edges[i + 1]]:
+            h = np.tanh(((row - model.mean) / model.spread) @ w["W"] + w["b"])
+            coded.append(h)
+            energy.append(float((np.tanh(h @ w["V"]) * (1 / (1 + np.exp(-(h @ w["U"]))))) @ w["w"]))
+        weight = np.exp(np.array(energy) - max(energy))
+        z = sum(a * h for a, h in zip(weight / weight.sum(), coded, strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-(z @ w["c"] + w["c0"][0])))) < 1e-5
+    long = pa.record_batch([pa.array([1]), pa.array([" ".join(str(x) for x in draw.integers(0, 9, 40 * 90))])], ["doc_id", "text"])
+    bag = next(quality._bags(iter([long]), 32)).column(1)[0].as_py()
+    assert len(bag) == 32 * quality.WIDTH * 4
+
+
 def test_quality(spark, empty):
     good, bad = "some plain words that run on and on ", "BUY!! NOW!! $$$ %%% "
     texts = spark.createDataFrame([(i, (good if i % 2 else bad) * (1 + i % 5)) for i in range(60)] + [(98, None), (99, "")], "doc_id long, text string")
@@ -358,7 +433,8 @@ def test_golomb_round_trip():
 
 
 def test_minimal_perfect_hash():
-    keys = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 5000).astype(np.uint64))
+    keys = np.random.default_rng(4).integers(0, 1 << 63, (5000, 2)).astype(np.uint64)
+    keys[100:200, 0] = keys[:100, 0]  # equal first halves are still two keys
     sizes, bits, slots = build_index(keys)
     assert sorted(slots) == list(range(len(keys))) and (find_slots(keys, sizes, bits) == slots).all()
 
@@ -368,3 +444,55 @@ def test_span_hash_sees_every_byte():
     starts, ends, first = word_spans(data, np.array([0, 6, 12]))
     h = SpanHash(1)(data, starts, ends)
     assert first.tolist() == [0, 2, 4] and h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_structured_texts_do_not_collide(spark):
+    """Two texts on which every polynomial hash modulo a power of two collides: unlike lines, words, passages, sets."""
+    one, two = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    a, b = SpanHash(1)(data, np.array([0, 1024]), np.array([1024, 2048])).tolist()
+    assert a != b and len(set(SpanHash(1)(data[:400], np.arange(0, 400, 2), np.arange(2, 402, 2)).tolist())) == 2
+    run = RunHash(1)
+    values = np.array([1 if c == "a" else 2 for c in one + two], np.uint64)
+    found = run(values, 1024)
+    assert found[0] != found[1024]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(without_repeated_lines(frame([(1, one), (2, two)])), "doc_id", "n_dropped") == [(1, 0), (2, 0)]
+    same = " ".join(f"s{i}" for i in range(19))
+    got = table(without_repeated_passages(frame([(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{same} {two}")])), "doc_id", "n_removed")
+    assert got == [(1, 0), (2, 0), (3, 20)]
+    got = table(near_duplicates(frame([(1, one), (2, two), (3, two), (4, f"{same} {one}"), (5, f"{same} {two}")]), 4), "doc_id", "component_id")
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 4)]
+
+
+def test_repeated_ids_with_unlike_texts(spark):
+    """Rows that share an id are one document: it never repeats itself, and what another one took goes from each."""
+    line, passage = "a line that is long enough", " ".join(f"p{i}" for i in range(30))
+    rows = [(7, line), (7, f"{line}\nmore"), (9, f"{line}\nnine"), (9, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(without_repeated_lines(docs), "doc_id", "text", "n_dropped") == [(7, line, 0), (7, f"{line}\nmore", 0), (9, "", 1), (9, "nine", 1)]
+    rows = [(7, passage), (7, f"other {passage}"), (9, f"nine {passage} end"), (9, passage)]
+    got = table(without_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_words", "n_removed")
+    assert [x for x in got if x[0] == 9] == [(9, 30, 30), (9, 32, 30)] and len(got) == 4
+
+
+def test_long_items_and_places(spark):
+    """An item much longer than its windows, with runs that repeat, against brute force on both paths."""
+    draw = np.random.default_rng(12)
+    item = [f"v{n}" for n in draw.integers(0, 6, 900)] + ["z"] * 60
+    texts = [(1, " ".join(item[100:140] + ["gap"] + item[880:])), (2, " ".join(["z"] * 200)), (3, " ".join(f"v{n}" for n in draw.integers(0, 6, 3000))), (4, " ".join(item))]
+    windows = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
+    want = []
+    for i, t in texts:
+        w, hit = t.split(), np.zeros(len(t.split()), bool)
+        for j in range(len(w) - 12):
+            if tuple(w[j : j + 13]) in windows:
+                hit[j : j + 13] = True
+        want.append((i, len(w), int(hit.sum())))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for limit in (32 << 20, -1):
+        assert table(contamination(docs, bench, limit), "doc_id", "n_words", "n_hit") == want
