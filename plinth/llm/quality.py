@@ -5,8 +5,9 @@ byte shares and a few word figures, standardised, and encoded by one tanh layer;
 ``w . (tanh(V h) * sigmoid(U h))`` gives each passage a weight within its document; the weighted mean of the
 encodings is scored by a logistic unit. Only documents carry labels; the gradient flows through the attention.
 
-Training uses at most about ``sample`` labelled documents of at most ``longest`` bytes, picked by a hash of the
-id - that bound is the parameter; scoring reads every passage of every document. Cases: null and empty texts
+Training uses at most about ``sample`` labelled documents, picked by a hash of the id, and of each at most
+``most`` passages, spread evenly over its whole text - these bounds are the parameters, and what the driver
+gathers for fitting is their product, whatever the corpus; scoring reads every passage of every document. Cases: null and empty texts
 are one empty passage; without labels every score is 0.5; labels that are null or of unknown documents teach
 nothing, repeated ones are averaged; repeated rows give a row each; an empty table gives no rows.
 """
@@ -124,10 +125,10 @@ def fit(figures: np.ndarray, edges: np.ndarray, y: np.ndarray, rounds: int = 150
     return model
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in steps(batches):
         figures, edges = passages(texts)
-        body = [figures[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        body = [figures[a + np.arange(min(most, b - a)) * (b - a) // min(most, b - a)].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(body, pa.binary())], ["doc_id", "bag"])
 
 
@@ -137,7 +138,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(scores)], ["doc_id", "score"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, teaching: Column | None = None, sample: int = 3000, longest: int = 1 << 16) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, teaching: Column | None = None, sample: int = 3000, most: int = 32) -> Model | None:
     """A model from ``labels(doc_id, quality)``; ``teaching`` says which labels may teach."""
     Scratch(docs.sparkSession, "quality")
     known = opened(labels, ("doc_id", "quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
@@ -147,9 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, teaching: Column | None = None, sa
     n = known.count()
     # About ``sample`` ids, and never more than twice as many.
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n))) < sample).limit(2 * sample)
-    texts = keyed_texts(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
-    bags = texts.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary")
-    rows = sorted((r["doc_id"], r["y"], bytes(r["bag"])) for r in bags.join(picked, "doc_id").collect())  # bounded by sample
+    bags = keyed_texts(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").mapInArrow(lambda it: _bags(it, most), "doc_id long, bag binary")
+    rows = sorted((r["doc_id"], r["y"], bytes(r["bag"])) for r in bags.join(picked, "doc_id").collect())  # bounded by sample and most
     if not rows:
         return None
     parts = [np.frombuffer(r[2], np.float32).reshape(-1, WIDTH) for r in rows]
