@@ -8,7 +8,7 @@ distance as a share of the largest possible.
 
 Profiles are counted over at most about ``per_language`` texts of each language, picked by a hash of the id;
 that bound is the parameter, and smaller languages are counted whole. Every document is scored on its whole
-text. Cases: null, empty or letterless text: ``und`` with score 0; without any labelled text every document
+text, counted window by window. Cases: null, empty or letterless text: ``und`` with score 0; without any labelled text every document
 is ``und``; rows without ``lang`` teach nothing; repeated rows give a row each; no rows, no result.
 """
 
@@ -27,14 +27,14 @@ from .common import Scratch, keyed_texts, opened, picked, steps
 PROFILE = 400
 _BITS = 12
 _DIRECT = 0x600
-#: Text bytes counted at once; each takes about a hundred bytes of working memory.
-_STEP = 1 << 18
+#: Text bytes of one step, and characters counted at once: a long text is counted window by window.
+_STEP, _POINTS = 1 << 18, 1 << 17
 
 
 @functools.lru_cache(1)
 def _letters() -> np.ndarray:
     """The letter class of every code point: 0 for no letter, lower case folded, letters beyond the first scripts hashed."""
-    table = np.zeros(0x110000, np.int64)
+    table = np.zeros(0x110000, np.int16)
     for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
@@ -44,31 +44,46 @@ def _letters() -> np.ndarray:
     return table
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.append(np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
 def ranked_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the n-grams in order of count (then of code): text number, code, count."""
-    points = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le"), "<u4")
-    owner = np.repeat(np.arange(-1, len(texts)), np.array([1, *(len(x) + 1 for x in texts)]))
-    letter = _letters()[points]
-    solid = letter > 0
-    keep = solid.copy()
-    keep[1:] |= solid[:-1]
-    keep[0] = True
-    c, d = letter[keep], owner[keep]
-    one = c > 0
-    two = (c[:-1] > 0) | (c[1:] > 0)
-    three = c[1:-1] > 0
+    """Of each text the n-grams in order of count (then of code): text number, code, count.
+
+    A place gives its letter, the pair that ends there (a letter in it) and the triple around its letter; what is
+    no letter is one boundary mark. Windows of places are counted apart and summed, so a text's length does not
+    decide the memory, only its distinct n-grams do.
+    """
+    whole = "\n" + "\n".join(texts) + "\n\n"
+    begin = np.cumsum([1, *(len(x) + 1 for x in texts)])
     tag = 3 * _BITS
-    codes = [(1 << tag) | c[one], (2 << tag) | (c[:-1] << _BITS | c[1:])[two], (3 << tag) | (c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:])[three]]
-    owners = [d[one], np.where(c[1:] > 0, d[1:], d[:-1])[two], d[1:-1][three]]
-    keys = np.sort((np.concatenate(owners) << (tag + 2)) | np.concatenate(codes))
-    if not len(keys):
-        return keys, keys, keys
-    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    counts = np.diff(np.append(heads, len(keys)))
-    keys = keys[heads]
-    text, code = keys >> (tag + 2), keys & ((1 << (tag + 2)) - 1)
-    order = np.argsort((text << 32) | ((1 << 31) - counts), kind="stable")
-    return text[order], code[order], counts[order]
+    keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    waiting = 0
+    for a in range(1, len(whole) - 1, _POINTS):
+        b = min(a + _POINTS, len(whole) - 1)
+        code = _letters()[np.frombuffer(whole[a - 1 : b + 1].encode("utf-32-le"), "<u4")]
+        solid = code > 0
+        one, two = np.flatnonzero(solid[1:-1]), np.flatnonzero(solid[1:-1] | solid[:-2])
+        x, y, z = (code[i : len(code) - 2 + i].astype(np.int64) for i in range(3))
+        owner = (np.searchsorted(begin, np.arange(a, b), "right") - 1) << (tag + 2)
+        found = [owner[one] | (1 << tag) | y[one], owner[two] | (2 << tag) | (x << _BITS | y)[two], owner[one] | (3 << tag) | (x << 2 * _BITS | y << _BITS | z)[one]]
+        found = np.sort(np.concatenate(found))
+        heads = np.flatnonzero(np.append(np.ones(min(1, len(found)), bool), found[1:] != found[:-1]))
+        keys.append(found[heads])
+        counts.append(np.diff(np.append(heads, len(found))))
+        waiting += len(heads)
+        if waiting > 8 * _POINTS:
+            done = _summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, waiting = [done[0]], [done[1]], 0
+    every, number = _summed(np.concatenate(keys), np.concatenate(counts)) if len(keys) > 2 else (keys[-1], counts[-1])
+    text, code = every >> (tag + 2), every & ((1 << (tag + 2)) - 1)
+    order = np.lexsort((-number, text))
+    return text[order], code[order], number[order]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,9 @@ import re
 
 import numpy as np
 
-CHUNKS, PIECES = 250_000, 400_000
+from .common import settle
+
+CHUNKS, PIECES = 150_000, 150_000
 
 #: The split pattern of the vocabulary, for ASCII and Latin letters in lower case.
 _LETTERS = "a-zß-öø-ɏ"
@@ -78,10 +80,11 @@ class Encoder:
         get = known.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
-
     def rest(self) -> None:
-        """Give the chunk cache back at a task's end: workers outlive their stage."""
+        """Give the caches back at a task's end: workers outlive their stage."""
         self.chunks.clear()
+        self.pieces.clear()
+        settle()
 
 
 @functools.lru_cache(1)
