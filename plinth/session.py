@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:  # a local session, as in tests
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         found = _own.get(key) or _own.setdefault(key, "file://" + tempfile.mkdtemp(prefix="plinth-shared-"))
     return found.rstrip("/")
@@ -67,6 +69,11 @@ class Scratch:
     def drop(self, name: str) -> None:
         drop_path(self.spark, f"{self.root}/{name}")
 
+    def close(self) -> None:
+        """Delete every table of this scratch; results that read them must have been written."""
+        drop_path(self.spark, self.root)
+        _made[:] = [m for m in _made if m[1] != self.root]
+
 
 @atexit.register
 def _forget() -> None:
