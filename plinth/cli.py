@@ -1,4 +1,4 @@
-"""Command line: index, slice, clean, verify, dead-code, perf-lint, dataset, hook, serve."""
+"""Command line: index, slice, clean, verify, dead-code, perf-lint, mine, dataset, export, hook, serve."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import dead_code, graph, lint, records
-from .operators.verify import call_graph, verify
+from .operators import dead_code, graph, lint, mining, mutate, records, reports
+from .operators.verify import call_graph, scored, settings, verify
 from .sources import code, records_io, snapshot
 
 
@@ -33,20 +33,38 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def verify_code_patch(spark: SparkSession, root: str, file_path: str, patch: str, replacement: bool = False) -> dict:
+def verify_code_patch(spark: SparkSession, root: str, file_path: str, patch: str, replacement: bool = False, threshold: float | None = None, temperature: float | None = None, scores: str | None = None) -> dict:
+    """One report; threshold and temperature also come of the environment or of ``.plinth-model.json`` in the workspace."""
+    limit, warmth = settings(threshold, temperature, os.path.join(root, ".plinth-model.json"))
     change = spark.createDataFrame([("patch", file_path, patch, replacement)], "patch_id string, file_path string, patch string, is_replacement boolean")
-    return _rows(verify(workspace(spark, root), change))[0]
+    found = verify(workspace(spark, root), change, threshold=limit)
+    if scores:
+        found = scored(found, spark.read.json(scores), limit, warmth)
+    return _rows(found)[0]
 
 
 def detect_dead_code(spark: SparkSession, root: str, min_lines: int = 1, paths: list[str] | None = None, exported: bool = True) -> list[dict]:
     files = workspace(spark, root)
     found = dead_code.triaged(dead_code.dead_symbols(code.extract(files), files, min_lines, paths, exported))
-    return _rows(found.orderBy("file_path", "lineno").select("symbol_id", "kind", "lineno", "lines", "dead_kind", "cluster_root", "reason", "classification", "suppressed"))
+    return _rows(found.orderBy("file_path", "lineno").select("symbol_id", "kind", "lineno", "lines", "dead_kind", "cluster_root", "reason", "classification", "suppressed").limit(reports.MOST))
 
 
-def lint_performance_patterns(spark: SparkSession, root: str, severity: str | None = None) -> list[dict]:
+def lint_performance_patterns(spark: SparkSession, root: str, severity: str | None = None, file_path: str | None = None, patch: str | None = None) -> list[dict]:
+    """Findings of the workspace, or of one file as a patch would leave it."""
     files = workspace(spark, root)
-    return _rows(lint.diagnostics(code.extract(files), files, severity))
+    if file_path and patch:
+        change = spark.createDataFrame([("patch", file_path, patch, False)], "patch_id string, file_path string, patch string, is_replacement boolean")
+        found = lint.patch_diagnostics(change, files, severity)
+    else:
+        found = lint.diagnostics(code.extract(files), files, severity)
+    return _rows(found.orderBy("file_path", "lineno", "col", "rule_id").limit(reports.MOST))
+
+
+def _told(spark: SparkSession, rows: list[dict], form: str) -> str:
+    if form == "json" or not rows:
+        return json.dumps(rows, indent=2)
+    flat = [{k: v if isinstance(v, str | int | float) else json.dumps(v) for k, v in r.items()} for r in rows]
+    return reports.FORMS[form](spark.createDataFrame(flat).select(list(flat[0])))
 
 
 TOOLS = {f.__name__: f for f in (verify_code_patch, detect_dead_code, lint_performance_patterns)}
@@ -81,18 +99,29 @@ def parser() -> argparse.ArgumentParser:
     p = add("verify", "--replacement")
     p.add_argument("file")
     p.add_argument("--patch-file")
+    p.add_argument("--threshold", type=float)
+    p.add_argument("--temperature", type=float)
+    p.add_argument("--scores", help="JSON lines of patch_id, risk_score and log_variance from a model")
     p = add("slice")
     p.add_argument("symbol")
     p.add_argument("--hops", type=int, default=1)
     p = add("dead-code", "--internal-only")
     p.add_argument("--min-lines", type=int, default=1)
     p.add_argument("--path", action="append")
+    p.add_argument("--form", choices=sorted(reports.FORMS), default="json")
     p = add("perf-lint")
+    p.add_argument("--form", choices=sorted(reports.FORMS), default="json")
     p.add_argument("--fail-on", choices=["error", "warn", "never"], default="error")
     p = add("dataset")
     p.add_argument("input")
     p.add_argument("output")
     p.add_argument("--target", type=int, default=400)
+    p = add("export")
+    p.add_argument("input")
+    p.add_argument("output")
+    p.add_argument("--val-ratio", type=float, default=0.2)
+    p = add("mine", "--structural", "--mutants", "--history")
+    p.add_argument("output")
     p = add("hook")
     p.add_argument("action", choices=["install", "uninstall", "on", "off", "block", "warn", "status", "run"])
     return top
@@ -124,7 +153,7 @@ def main(argv: list[str] | None = None) -> int:
         patch = open(args.patch_file).read() if args.patch_file else sys.stdin.read()
         if not patch.strip():
             return 2
-        report = verify_code_patch(spark, args.root, args.file, patch, args.replacement)
+        report = verify_code_patch(spark, args.root, args.file, patch, args.replacement, args.threshold, args.temperature, args.scores)
         print(json.dumps(report, default=str, indent=2))
         return int(report["status"] != "APPROVED")
     if args.command == "slice":
@@ -137,13 +166,24 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "dead-code":
         found = detect_dead_code(spark, args.root, args.min_lines, args.path, not args.internal_only)
-        print(json.dumps(found, indent=2))
+        print(_told(spark, found, args.form))
         return int(bool(found))
     if args.command == "perf-lint":
         found = lint_performance_patterns(spark, args.root)
-        print(json.dumps(found, indent=2))
+        print(_told(spark, found, args.form))
         worst = {d["severity"] for d in found}
         return int(args.fail_on != "never" and ("error" in worst or args.fail_on == "warn" and bool(worst)))
+    if args.command == "mine":
+        files = workspace(spark, args.root)
+        if args.history:
+            found = mining.history_records(files, mining.mined_history(*records_io.history(spark, args.root)))
+        else:
+            found = mutate.surviving(files) if args.mutants else mining.mined(files, args.structural)
+        found.write.mode("overwrite").json(args.output)
+        return 0
+    if args.command == "export":
+        print(json.dumps(_rows(records_io.write_splits(records.export_split(records_io.read_records(spark, args.input), args.val_ratio), args.output))))
+        return 0
     out = records.stratified(records_io.read_records(spark, args.input), args.target)
     print(json.dumps(_rows(records_io.write_splits(out, args.output))))
     return 0

@@ -6,7 +6,7 @@ import json
 import os
 import stat
 
-from .sources.records_io import git, staged
+from .sources.records_io import dirty, git, staged
 
 BEGIN, END = "# >>> plinth >>>", "# <<< plinth <<<"
 _BODY = "python -m plinth.cli hook run || exit 1"
@@ -77,8 +77,11 @@ def run(repo: str) -> int:
     spark = session()
     files = workspace(spark, repo)
     changes = spark.createDataFrame([("commit", path, new, True) for path, new, _ in texts], "patch_id string, file_path string, patch string, is_replacement boolean")
+    # Staged files are judged against what is committed; what is staged stands for other dirty working copies.
+    base = {path: text for path, text in dirty(repo)} | {path: old for path, _, old in texts}
+    overlays = spark.createDataFrame(sorted(base.items()), "file_path string, content string")
     rejected = False
-    for row in verify(files, changes).collect():
+    for row in verify(files, changes, overlays=overlays).collect():
         rejected |= row.status == "REJECTED"
         print(f"{row.file_path}: {row.status}" + "".join(f"\n  {v}" for v in row.violations))
     return int(rejected and settings["mode"] == "block")

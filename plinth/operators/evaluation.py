@@ -76,14 +76,22 @@ def temperature_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
     return wide.groupBy("temperature").agg(F.round(F.avg(-F.col("y") * F.log(p) - (1 - F.col("y")) * F.log(1 - p)), 6).alias("loss"))
 
 
-def losses(rows: DataFrame, delta: float = 0.1) -> DataFrame:
-    """Multi-task losses of ``risk, target, log_variance``: Huber, cross-entropy and heteroscedastic likelihood."""
+def losses(rows: DataFrame, delta: float = 0.1, risk_weight: float = 1.0, noise: tuple[float, float, float] | None = None) -> DataFrame:
+    """Multi-task losses of ``risk, target, log_variance``: Huber, cross-entropy, heteroscedastic likelihood, and their total.
+
+    ``risk_weight`` above 1 counts the Huber loss of risky targets (from 0.5) so many times; ``noise`` weighs the
+    three by their homoscedastic uncertainty, else they add up.
+    """
     e = F.abs(F.col("risk") - F.col("target"))
-    huber = F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta))
+    huber = F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta)) * F.when(F.col("target") >= 0.5, float(max(1.0, risk_weight))).otherwise(1.0)
     p = F.least(F.greatest("risk", F.lit(1e-6)), F.lit(1 - 1e-6))
     bce = -F.col("target") * F.log(p) - (1 - F.col("target")) * F.log(1 - p)
     s = F.least(F.greatest("log_variance", F.lit(-6.0)), F.lit(6.0))
-    return rows.agg(F.avg(huber).alias("huber"), F.avg(bce).alias("bce"), F.avg(0.5 * F.exp(-s) * e * e + 0.5 * s).alias("nll"))
+    out = rows.agg(F.avg(huber).alias("huber"), F.avg(bce).alias("bce"), F.avg(0.5 * F.exp(-s) * e * e + 0.5 * s).alias("nll"))
+    if noise is None:
+        return out.withColumn("total", F.col("huber") + F.col("bce") + F.col("nll"))
+    weighed = [0.5 / a**2 * F.col(c) for a, c in zip(noise, ("huber", "bce", "nll"), strict=True)]
+    return out.withColumn("total", weighed[0] + weighed[1] + weighed[2] + F.log(F.lit(abs(noise[0] * noise[1] * noise[2]) + 1e-8)))
 
 
 def uncertainty_by_outcome(rows: DataFrame) -> DataFrame:
@@ -114,5 +122,14 @@ def parity_gap(rows: DataFrame) -> DataFrame:
     return rows.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs"))
 
 
+def report_markdown(rows: DataFrame, thresholds: list[float], title: str = "Error analysis") -> str:
+    """Metrics, breakdown, threshold sweep and calibration of ``label, risk, language, category`` rows, as Markdown."""
+    from .reports import markdown
+
+    judged = rows.withColumn("outcome", outcome(F.col("label"), F.col("risk"), 0.5))
+    parts = [("Metrics", confusion(judged)), ("By language and category", breakdown(judged)), ("Thresholds", sweep(rows, thresholds).orderBy("threshold")), ("Calibration", calibration_error(rows))]
+    return f"# {title}\n\n" + "\n\n".join(f"## {name}\n\n{markdown(found)}" for name, found in parts) + "\n"
+
+
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -93,8 +93,12 @@ def _entered(wanted: DataFrame, old_symbols: DataFrame, new_symbols: DataFrame,
     return found.join(last, ["patch_id", "ctor_id"]).select("patch_id", "class_id", "s.*")
 
 
-def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame) -> DataFrame:
-    """``(patch_id, status, confidence, violations, cycles)`` for every patch of ``located`` (see ``patches.locate``)."""
+def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame, hops: int = 1) -> DataFrame:
+    """``(patch_id, status, confidence, violations, cycles)`` for every patch of ``located`` (see ``patches.locate``).
+
+    Call cycles are those of the slice ``hops`` calls around the changed symbols; import cycles are the strong
+    components of the patch's own workspace that hold a patched file.
+    """
     spark = located.sparkSession
     scratch = Scratch(spark, "gate")
     located = scratch.keep(located, "located")
@@ -168,14 +172,22 @@ def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame) -> DataFra
     lost = lost.unionByName(missing.select("patch_id", F.format_string("BROKEN_IMPORT: '%s' line %d: '%s' has no '%s'", "file_path", "lineno", "target", "name").alias("violation")))
     violations = violations.unionByName(lost)
 
-    # Call cycles: what the patched files call, and what the base calls from there.
+    # Call cycles: among the changed symbols, what they call, and what lies up to ``hops`` calls around them.
     base_edges = scratch.keep(index.resolve_calls(old_calls, old_symbols, resolved_old).where("target_id is not null").select(F.col("caller_id").alias("src"), F.col("target_id").alias("dst"), "file_path").distinct(), "base_edges")
-    edges = aimed.select("patch_id", F.col("caller_id").alias("src"), F.col("target_id").alias("dst")).distinct()
-    step = edges
-    for hop in range(2):
-        step = outside(step.select("patch_id", F.col("dst").alias("src")).distinct().join(base_edges, "src")).select("patch_id", "src", "dst")
-        step = scratch.keep(step, f"step{hop}")
-        edges = edges.unionByName(step)
+    own_edges = scratch.keep(aimed.select("patch_id", F.col("caller_id").alias("src"), F.col("target_id").alias("dst")).where("src <> dst").distinct(), "own_edges")
+    seeds = scratch.keep(changed.select("patch_id", F.concat_ws("::", "file_path", "qualname").alias("node")).distinct(), "seeds")
+    near_by = seeds
+
+    def beside(nodes: DataFrame, here: str, there: str) -> DataFrame:
+        known = nodes.withColumnRenamed("node", here)
+        step = outside(known.join(base_edges, here)).select("patch_id", F.col(there).alias("node"))
+        return step.unionByName(known.join(own_edges, ["patch_id", here]).select("patch_id", F.col(there).alias("node")))
+
+    for hop in range(hops):
+        near_by = scratch.keep(near_by.unionByName(beside(near_by, "src", "dst")).unionByName(beside(near_by, "dst", "src")).distinct(), f"near{hop}")
+    tail, head = near_by.withColumnRenamed("node", "src"), near_by.withColumnRenamed("node", "dst")
+    inner = outside(tail.join(base_edges, "src")).select("patch_id", "src", "dst").unionByName(own_edges.join(tail, ["patch_id", "src"], "left_semi"))
+    edges = inner.join(head, ["patch_id", "dst"], "left_semi").select("patch_id", "src", "dst").unionByName(own_edges.join(seeds.withColumnRenamed("node", "src"), ["patch_id", "src"], "left_semi").select("patch_id", "src", "dst"))
     call_cycles = graph.cycles_by_key(edges.where("src <> dst"))
 
     # Import cycles through a patched file: backwards from it along the imports that stay.
@@ -192,8 +204,16 @@ def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame) -> DataFra
         if frontier.isEmpty():
             break
         seen = scratch.keep(seen.unionByName(frontier), f"seen{hop}")
-    closing = fresh.join(seen, (fresh["patch_id"] == seen["patch_id"]) & (fresh["src"] == seen["home"]) & (fresh["dst"] == seen["node"])).select(fresh["patch_id"], "src", "dst")
-    import_cycles = closing.groupBy("patch_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("to")).select("patch_id", F.concat(F.array("src"), "to").alias("cycle"))
+    # A patched file is in a cycle where it imports what leads back to it; the component is found among what leads back.
+    closing = fresh.join(seen, (fresh["patch_id"] == seen["patch_id"]) & (fresh["src"] == seen["home"]) & (fresh["dst"] == seen["node"])).select(fresh["patch_id"], F.col("src").alias("home")).distinct()
+    around = scratch.keep(seen.join(closing, ["patch_id", "home"]), "around")
+    tail, head = around.withColumnRenamed("node", "src"), around.withColumnRenamed("node", "dst")
+    kept = tail.join(touched.withColumnRenamed("touched", "src"), ["patch_id", "src"], "left_anti").join(stays, "src").join(head, ["patch_id", "home", "dst"], "left_semi")
+    made_ = tail.join(fresh, ["patch_id", "src"]).join(head, ["patch_id", "home", "dst"], "left_semi")
+    ring = kept.select("patch_id", "home", "src", "dst").unionByName(made_.select("patch_id", "home", "src", "dst"))
+    ring = graph.cycles_by_key(ring.withColumn("key", F.to_json(F.struct("patch_id", "home"))), "key")
+    ring = ring.withColumn("k", F.from_json("key", "patch_id string, home string")).where(F.array_contains("cycle", F.col("k.home")))
+    import_cycles = ring.select(F.col("k.patch_id").alias("patch_id"), "cycle").distinct()
 
     cycles = call_cycles.withColumn("what", F.lit("call")).unionByName(import_cycles.withColumn("what", F.lit("import")))
     cycles = scratch.keep(cycles, "cycles")

@@ -1,23 +1,83 @@
 """Graph operators over edge tables ``(src, dst)``: reach, closure, strong components, bounded neighbourhoods.
 
 Loops advance a frontier by one join a step, anti-join what is known, and write each step's result to the
-shared checkpoint folder, so plans stay short and a lost executor costs one step. Small graphs that belong to
-a key (one patch each) go through one grouped Tarjan instead.
+shared checkpoint folder, so plans stay short and a lost executor costs one step. A counted graph of at most
+``ONE_TASK_EDGES`` edges is walked in one task instead, with the same results; small graphs that belong to a key
+(one patch each) go through one grouped Tarjan.
+
+A node may stand for a name that many symbols share: edges run from callers to the name and from the name to its
+symbols, so their number is linear where pairs would be a product. Such nodes are texts that begin with ``NAME``.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 
+#: Edges up to which one task walks a graph (some hundred MB); more go through distributed rounds.
+ONE_TASK_EDGES = 1 << 20
+NAME = "\0"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Any, ...]]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def whole(rows: DataFrame, run: Callable[[Iterator[tuple[Any, ...]]], list[tuple[Any, ...]]], schema: str) -> DataFrame:
+    """``run`` over all rows in one task."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = run(_rows(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(kinds)], kinds.names)
+
+    return rows.coalesce(1).mapInArrow(once, schema)
+
+
+def walk(starts: dict[Any, Any], ahead: dict[Any, list[Any]], most: int | None = None) -> dict[Any, int]:
+    """Depth of every node that ``starts`` reach."""
+    depth = dict.fromkeys(starts, 0)
+    waiting = deque(depth)
+    while waiting:
+        node = waiting.popleft()
+        if most is not None and depth[node] >= most:
+            continue
+        for other in ahead.get(node, ()):
+            if other not in depth:
+                depth[other] = depth[node] + 1
+                waiting.append(other)
+    return depth
+
 
-def reachable(edges: DataFrame, roots: DataFrame, max_steps: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_steps: int | None = None, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """``(node, depth)`` of all that ``roots(node)`` reach, themselves at depth 0."""
     scratch = Scratch(edges.sparkSession, "reach")
-    edges = scratch.keep(edges.select("src", "dst").distinct(), "edges")
+    kind = dict(edges.dtypes)["src"]
+    roots = roots.select(F.col("node").cast(kind)).where("node is not null").distinct()
+    both = scratch.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct().unionByName(roots.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"))), "edges")
+    if both.count() <= one_task:
+
+        def run(rows: Iterator[tuple[Any, ...]]) -> list[tuple[Any, ...]]:
+            ahead, starts = {}, {}
+            for a, b in rows:
+                if b is None:
+                    starts[a] = True
+                else:
+                    ahead.setdefault(a, []).append(b)
+            return list(walk(starts, ahead, max_steps).items())
+
+        return scratch.keep(whole(both, run, f"node {kind}, depth int"), "walked")
+    edges, roots = both.where("dst is not null"), both.where("dst is null").select(F.col("src").alias("node"))
     seen = frontier = scratch.keep(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), "step0")
     step = 0
     while max_steps is None or step < max_steps:
@@ -45,22 +105,23 @@ def closure(edges: DataFrame, max_steps: int | None = None) -> DataFrame:
     return pairs
 
 
-def _spread(nodes: DataFrame, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """The smallest node that reaches each node over ``edges`` (itself included): ``(node, colour)``."""
-    colours = scratch.keep(nodes.select("node", F.col("node").alias("colour")), f"{tag}-0")
+def _spread(colours: DataFrame, edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """The smallest colour of ``(node, colour)``, null for none, that reaches each node over ``edges``, its own included."""
+    colours = scratch.keep(colours.select("node", "colour"), f"{tag}-0")
     step = 0
     while True:
         step += 1
         pushed = edges.join(colours, edges["src"] == colours["node"]).groupBy("dst").agg(F.min("colour").alias("push"))
         joined = colours.join(pushed, colours["node"] == pushed["dst"], "left")
-        after = joined.select("node", F.least("colour", F.coalesce("push", "colour")).alias("colour"), (F.coalesce("push", "colour") < F.col("colour")).alias("moved"))
+        moved = F.col("push").isNotNull() & (F.col("colour").isNull() | (F.col("push") < F.col("colour")))
+        after = joined.select("node", F.least("colour", "push").alias("colour"), moved.alias("moved"))
         after = scratch.keep(after, f"{tag}-{step}")
         colours = after.select("node", "colour")
         if after.where("moved").isEmpty():
             return colours
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """``(node, component)``: the smallest node of each strongly connected component.
 
     Colouring: the smallest node that reaches a node colours it; a colour's own node, walked backwards within
@@ -68,16 +129,28 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "scc")
     edges = scratch.keep(edges.select("src", "dst").where("src <> dst").distinct(), "edges0")
+    if edges.count() <= one_task:
+        kind = dict(edges.dtypes)["src"]
+
+        def run(rows: Iterator[tuple[Any, ...]]) -> list[tuple[Any, ...]]:
+            ahead: dict[Any, list[Any]] = {}
+            for a, b in rows:
+                ahead.setdefault(a, []).append(b)
+                ahead.setdefault(b, [])
+            home = {n: part[0] for part in tarjan(ahead) for n in part}
+            return [(n, home.get(n, n)) for n in ahead]
+
+        return scratch.keep(whole(edges, run, f"node {kind}, component {kind}"), "found")
     nodes = scratch.keep(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes0")
     done = None
     turn = 0
     while not nodes.isEmpty():
         turn += 1
-        colours = _spread(nodes, edges, scratch, f"colour{turn}")
+        colours = _spread(nodes.withColumn("colour", F.col("node")), edges, scratch, f"colour{turn}")
         a, b = colours.withColumnsRenamed({"node": "src", "colour": "c"}), colours.withColumnsRenamed({"node": "dst", "colour": "d"})
         inside = scratch.keep(edges.join(a, "src").join(b, "dst").where("c = d").select("src", "dst", F.col("c").alias("colour")), f"inside{turn}")
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = reachable(back, colours.where("node = colour").select("node")).select("node").join(colours, "node").withColumnRenamed("colour", "component")
+        found = reachable(back, colours.where("node = colour").select("node"), one_task=one_task).select("node").join(colours, "node").withColumnRenamed("colour", "component")
         found = scratch.keep(found, f"found{turn}")
         done = found if done is None else done.unionByName(found)
         nodes = scratch.keep(nodes.join(found, "node", "left_anti"), f"nodes{turn}")
@@ -178,17 +251,75 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1, max_fanout:
     return nodes, inside.select("patch_id", "src", "dst", "relation")
 
 
-def dead_clusters(edges: DataFrame, dead: DataFrame) -> DataFrame:
+def _named(node: Column | str) -> Column:
+    return F.col(node).cast("string").startswith(NAME) if isinstance(node, str) else node.cast("string").startswith(NAME)
+
+
+def clusters_of(dead: set[Any], pairs: list[tuple[Any, Any]]) -> list[tuple[Any, ...]]:
+    """``dead_clusters`` in one task: ``(node, kind, root)`` of the dead nodes, by all edges."""
+    through = lambda n: isinstance(n, str) and n.startswith(NAME)
+    ahead: dict[Any, list[Any]] = {}
+    callers: dict[Any, set[Any]] = {}
+    for a, b in pairs:
+        if (a in dead or through(a)) and (b in dead or through(b)) and a != b:
+            ahead.setdefault(a, []).append(b)
+            if through(b) and len(callers.setdefault(b, set())) < 2:
+                callers[b].add(a)
+    called = {b for a, bs in ahead.items() for b in bs if not through(b) and (not through(a) or callers.get(a, set()) - {b})}
+
+    def smallest(sources: set[Any]) -> dict[Any, Any]:
+        """The smallest source that reaches a node: sources in order, each walks what no smaller one has."""
+        label: dict[Any, Any] = {}
+        for source in sorted(sources):
+            waiting = [source]
+            while waiting:
+                node = waiting.pop()
+                if node not in label:
+                    label[node] = source
+                    waiting += ahead.get(node, ())
+        return label
+
+    free, lowest = smallest(dead - called), smallest(dead)
+    return [(n, "transitive", free.get(n, lowest[n])) if n in called else (n, "orphan", None) for n in dead]
+
+
+def _clusters(rows: Iterator[tuple[Any, ...]]) -> list[tuple[Any, ...]]:
+    dead, pairs = set(), []
+    for a, b in rows:
+        if b is None:
+            dead.add(a)
+        else:
+            pairs.append((a, b))
+    return clusters_of(dead, pairs)
+
+
+def dead_clusters(edges: DataFrame, dead: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """``(node, kind, root)`` of dead nodes: ``orphan`` without dead callers (self calls aside), else ``transitive``.
 
     The root of a transitive node is its smallest dead ancestor without dead callers, or, where there is none
-    (a cycle), the smallest node among its ancestors and itself.
+    (a cycle), the smallest node among its ancestors and itself. Names (see the module) hand calls on.
     """
-    inner = edges.where("src <> dst").join(dead.select(F.col("node").alias("src")), "src", "left_semi").join(dead.select(F.col("node").alias("dst")), "dst", "left_semi")
-    called = inner.select(F.col("dst").alias("node")).distinct()
-    orphans = dead.select("node").join(called, "node", "left_anti")
-    ancestors = closure(inner).select(F.col("src").alias("up"), F.col("dst").alias("node"))
-    first = ancestors.join(orphans.select(F.col("node").alias("up"), F.lit(True).alias("free")), "up", "left")
-    roots = first.groupBy("node").agg(F.min(F.when(F.col("free"), F.col("up"))).alias("free"), F.min("up").alias("any"))
-    transitive = roots.select("node", F.lit("transitive").alias("kind"), F.coalesce("free", F.least("any", "node")).alias("root"))
-    return orphans.select("node", F.lit("orphan").alias("kind"), F.lit(None).cast(dict(dead.dtypes)["node"]).alias("root")).unionByName(transitive)
+    scratch = Scratch(edges.sparkSession, "clusters")
+    kind = dict(edges.dtypes)["src"]
+    dead = dead.select(F.col("node").cast(kind).alias("node")).distinct()
+    both = scratch.keep(edges.select("src", "dst").distinct().unionByName(dead.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"))), "all")
+    if both.count() <= one_task:
+        return scratch.keep(whole(both, _clusters, f"node {kind}, kind string, root {kind}"), "found")
+    dead = both.where("dst is null").select(F.col("src").alias("node"))
+    inner = both.where("src <> dst")
+    for end in ("src", "dst"):
+        known = dead.select(F.col("node").alias(end), F.lit(True).alias("known"))
+        inner = inner.join(known, end, "left").where(F.coalesce("known", F.lit(False)) | _named(end)).drop("known")
+    inner = scratch.keep(inner.select("src", "dst"), "inner")
+    one, many = ~_named("src") & ~_named("dst"), _named("src") & ~_named("dst")
+    users = inner.where(_named("dst")).groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("lo"), F.max("src").alias("hi"))
+    by_name = inner.where(many).join(users, "src").where((F.col("lo") != F.col("dst")) | (F.col("hi") != F.col("dst")))
+    called = scratch.keep(inner.where(one).select(F.col("dst").alias("node")).union(by_name.select("dst")).distinct(), "called")
+    orphans = scratch.keep(dead.join(called, "node", "left_anti"), "orphans")
+    names = inner.select(F.explode(F.array("src", "dst")).alias("node")).where(_named("node")).distinct().withColumn("colour", F.lit(None).cast(kind))
+    any_ = _spread(dead.withColumn("colour", F.col("node")).unionByName(names), inner, scratch, "any")
+    start = dead.join(orphans.withColumn("colour", F.col("node")), "node", "left").unionByName(names)
+    free = _spread(start, inner, scratch, "free")
+    roots = called.join(any_.withColumnRenamed("colour", "any"), "node").join(free.withColumnRenamed("colour", "free"), "node")
+    transitive = roots.select("node", F.lit("transitive").alias("kind"), F.coalesce("free", "any").alias("root"))
+    return orphans.select("node", F.lit("orphan").alias("kind"), F.lit(None).cast(kind).alias("root")).unionByName(transitive)

@@ -8,15 +8,15 @@ from __future__ import annotations
 import posixpath
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import last_segment
+from ..functions.scalars import last_segment, normal_path
 from ..session import Scratch, ship
 
 _RELATIVE = (".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mjs", ".cjs")
 #: First path parts of the Go standard library's packages.
-_GO_STD = frozenset("archive bufio bytes cmp compress container context crypto database debug embed encoding errors expvar flag fmt go hash html image index io iter log maps math mime net os path plugin reflect regexp runtime slices sort strconv strings structs sync syscall testing text time unicode unique unsafe".split())
+_GO_STD = frozenset({"archive", "bufio", "bytes", "cmp", "compress", "container", "context", "crypto", "database", "debug", "embed", "encoding", "errors", "expvar", "flag", "fmt", "go", "hash", "html", "image", "index", "io", "iter", "log", "maps", "math", "mime", "net", "os", "path", "plugin", "reflect", "regexp", "runtime", "slices", "sort", "strconv", "strings", "structs", "sync", "syscall", "testing", "text", "time", "unicode", "unique", "unsafe"})
 
 
 def import_candidates(language: str, file_path: str, module: str | None, name: str, level: int) -> list[str]:
@@ -130,6 +130,18 @@ def name_index(symbols: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "key").agg(F.min_by("symbol_id", F.struct("file_path", "sym_ord")).alias("symbol_id"))
 
 
+def definitions(symbols: DataFrame, *keys: str) -> DataFrame:
+    """Every symbol of each name and qualified name, best first: ``(key, place, symbol_id)``; ``place`` 1 is ``name_index``."""
+    rows = symbols.select(*keys, F.explode(F.array_distinct(F.array("name", "qualname"))).alias("key"), "symbol_id", "file_path", "sym_ord").distinct()
+    place = F.row_number().over(Window.partitionBy(*keys, "key").orderBy("file_path", "sym_ord"))
+    return rows.select(*keys, "key", place.alias("place"), "symbol_id")
+
+
+def symbols_of(symbols: DataFrame, path: str, root: str = "") -> DataFrame:
+    """The symbols of one file in order of place; its path may be absolute, dotted or with backward slashes."""
+    return symbols.where(F.col("file_path") == normal_path(F.lit(path), root)).orderBy("sym_ord")
+
+
 def overlay(base: DataFrame, changed: DataFrame) -> DataFrame:
     """Facts with some files replaced; the base is untouched, so there is nothing to roll back."""
     return base.join(changed.select("file_path").distinct(), "file_path", "left_anti").unionByName(changed, allowMissingColumns=True)

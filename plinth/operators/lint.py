@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import patches
+
 #: The comment that silences a line (after any tool name and a colon), with an optional list of rules.
 MARK = r"[\w-]+:\s*ignore-perf(?:\[([A-Za-z0-9_,\s]*)\])?"
 
@@ -22,7 +24,7 @@ def suppressions(files: DataFrame, mark: str = MARK) -> DataFrame:
 
 
 def diagnostics(facts: DataFrame, files: DataFrame, severity: str | None = None, mark: str = MARK) -> DataFrame:
-    """Findings in order of file, line and column; ``severity='error'`` keeps errors only."""
+    """Findings of the files, in no order; ``severity='error'`` keeps errors only."""
     found = facts.select("file_path", F.explode("lint").alias("d")).select("file_path", "d.*").distinct()
     if severity == "error":
         found = found.where("severity = 'error'")
@@ -31,7 +33,23 @@ def diagnostics(facts: DataFrame, files: DataFrame, severity: str | None = None,
     covers = (F.col("f") == F.col("file_path")) & ((F.col("line") == F.col("lineno")) | in_loop) & ((F.size("rules") == 0) | F.array_contains("rules", F.col("rule_id")))
     kept = found.join(quiet, covers, "left_anti")
     text = files.select("file_path", F.split("content", "\n").alias("text"))
-    return kept.join(text, "file_path").withColumn("context_line", F.trim(F.get("text", F.col("lineno") - 1))).drop("text").orderBy("file_path", "lineno", "col")
+    return kept.join(text, "file_path").withColumn("context_line", F.trim(F.get("text", F.col("lineno") - 1))).drop("text")
+
+
+def patch_diagnostics(changes: DataFrame, files: DataFrame, severity: str | None = None) -> DataFrame:
+    """Findings of patched texts, each change applied to its own file and nothing written: ``patch_id`` and the columns of ``diagnostics``."""
+    located = patches.locate(changes, files)
+    keyed = located.withColumn("file_path", F.to_json(F.struct("patch_id", "file_path")))
+    found = diagnostics(keyed, keyed.select("file_path", F.col("patched").alias("content")), severity)
+    key = F.from_json("file_path", "patch_id string, file_path string")
+    return found.select(key["patch_id"].alias("patch_id"), key["file_path"].alias("file_path"), *[c for c in found.columns if c != "file_path"])
+
+
+def report_text(found: DataFrame, most: int = 1000) -> str:
+    """Findings as lines of text in order of file and place; a report, so it is limited."""
+    rows = found.orderBy("file_path", "lineno", "col", "rule_id").limit(most).collect()
+    lines = [f"{r.file_path}:{r.lineno}:{r.col}: {r.severity} {r.rule_id} {r.message}\n    {r.context_line}" for r in rows]
+    return "\n".join([*lines, f"{len(rows)} findings"])
 
 
 def totals(found: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Mutation operators and record generation: small faults planted in sources, kept where the gate lets them by.
+"""Mutation operators: small faults planted in sources, kept where the gate lets them by, and paired with clean changes.
 
 Operators work on lines; a cap is looked at after each line, so one line may pass it by what it adds. Nothing
 is ever executed: a mutant is kept or dropped by syntax and by the gate alone.
@@ -14,65 +14,82 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import language_of, risk_map
-from ..session import ship
+from ..functions.scalars import RISK_CLASSES, language_of, risk_map
+from ..session import Scratch, ship
 from ..sources import code
+from . import verify as V
 from .dead_code import in_test_file
 
+#: A pattern, what takes its place, and a note.
+Rule = tuple[str, str | Callable[[re.Match], str], str]
+
 
 class Mutator(NamedTuple):
-    """A named fault: where it applies, what class of risk it is, and its line rules (pattern, replacement, note)."""
+    """A named fault: its category and class of risk, its cap a file, other classes it touches, and its rules by language.
+
+    Rules come in groups: of each group the first rule that changes a line makes a mutant.
+    """
 
     name: str
-    languages: tuple[str, ...]
     category: str
+    risk_class: str
     most: int
-    rules: tuple[tuple[str, str | Callable[[re.Match], str], str], ...]
+    rules: dict[str, tuple[tuple[Rule, ...], ...]]
+    #: Shares of the first score that other classes get.
+    beside: dict[str, float] = {}
+
+
+def _turned(a: str, b: str) -> tuple[Rule, ...]:
+    """Either way, the first place of a line."""
+    return ((re.escape(a), b, f"{a.strip()} to {b.strip()}"), (re.escape(b), a, f"{b.strip()} to {a.strip()}"))
 
 
-_ALL = ("python", "typescript", "go", "rust")
+_LOOKUP: tuple[Rule, ...] = ((r"\.get\((\s*[\"'][^\"']+[\"'])\s*(?:,[^()]*)?\)", r"[\1]", "lookup without default"),)
+_CLOSE: tuple[Rule, ...] = ((r"^(\s*)[\w.]+\.(close|destroy|end)\(\);?\s*$", r"\1;", "close dropped"),)
 MUTATORS = (
-    Mutator("truthiness_inversion", _ALL, "silent_logic_drift", 5, (
-        (r"\bif\s+not\s+(\w[\w.]*)\s*:", r"if \1:", "negation dropped"), (r"\bif\s+(?!not\b)(\w[\w.]*)\s*:", r"if not \1:", "negation added"),
-        (r"\bif\s*\(\s*!\s*([\w.]+)\s*\)", r"if (\1)", "negation dropped"), (r"\bif\s*\(\s*([\w.]+)\s*\)", r"if (!\1)", "negation added"),
-        (r"==\s*nil\b", "!= nil", "nil test turned"), (r"!=\s*nil\b", "== nil", "nil test turned"),
-        (r"\.is_some\(\)", ".is_none()", "option test turned"), (r"\.is_none\(\)", ".is_some()", "option test turned"), (r"\.is_ok\(\)", ".is_err()", "result test turned"),
-        (r"(?<![<>=!-])<=(?!=)", "<", "bound made strict"), (r"(?<![<>=!-])>=(?!=)", ">", "bound made strict"),
-    )),
-    Mutator("mutable_defaults", ("python",), "silent_logic_drift", 3, ((r"(def\s+\w+\([^)]*?\w+(?:\s*:\s*[\w\[\], |]+)?\s*=\s*)None\b", r"\1[]", "shared default"),)),
-    Mutator("floating_promises", ("typescript",), "concurrency_hazard", 4, ((r"\bawait\s+(?=[\w.]+\()", "", "await dropped"),)),
-    Mutator("optional_chaining_drift", ("python", "typescript"), "silent_logic_drift", 4, (
-        (r"\?\.(?=\w)", ".", "optional chain dropped"), (r"\s\?\?\s[^;,)]+", "", "fallback dropped"), (r"\.get\((\s*[\"'][^\"']+[\"'])\s*(?:,[^()]*)?\)", r"[\1]", "lookup without default"),
-    )),
-    Mutator("unhandled_channel_read", ("go", "python"), "concurrency_hazard", 3, (
-        (r"(\w+)\s*,\s*ok\s*:=\s*<-\s*(\w+)", r"\1 := <-\2", "closed channel not told"), (r"\.get\(\s*timeout\s*=\s*[^)]+\)", ".get()", "wait without end"), (r"\.get_nowait\(\)", ".get()", "wait without end"),
-    )),
-    Mutator("unclosed_resource", _ALL, "resource_leak", 3, (
-        (r"^(\s*)with\s+(.+?)\s+as\s+(\w+)\s*:\s*$", r"\1\3 = \2\n\1if True:", "scope dropped"), (r"^\s*defer\s+[\w.]+\.Close\(\)\s*$", "", "close dropped"),
-        (r"^(\s*)[\w.]+\.(close|destroy|end)\(\);?\s*$", r"\1;", "close dropped"), (r"^(\s*)drop\((\w+)\);\s*$", r"\1std::mem::forget(\2);", "value leaked"),
-    )),
+    Mutator("truthiness_inversion", "silent_logic_drift", "SilentLogicDrift", 5, {
+        "python": (
+            ((r"^(\s*(?:if|elif)\s+)not\s+(?=[\w().'\" ]+:)", r"\1", "negation dropped"), (r"^(\s*(?:if|elif)\s+)([\w.]+):", r"\1not (\2):", "negation added")),
+            _turned(" == ", " != "), ((r" is None", " is not None", "none test turned"), (r" is not None", " is None", "none test turned")),
+        ),
+        "typescript": ((*_turned(" === ", " !== "), (r"\bif\s*\(!\s*([\w.]+)\)", r"if (\1)", "negation dropped"), (r"\bif\s*\(([\w.]+)\)", r"if (!\1)", "negation added")),),
+        "go": ((*_turned("err != nil", "err == nil"), (" == ", " != ", "== to !=")),),
+        "rust": (_turned(" == ", " != "),),
+    }),
+    Mutator("mutable_defaults", "silent_logic_drift", "SilentLogicDrift", 3, {"python": (((r"(def\s+\w+\([^)]*?\w+(?:\s*:\s*[\w\[\], |]+)?\s*=\s*)None\b", r"\1[]", "shared default"),),)}),
+    Mutator("floating_promises", "concurrency_hazard", "ConcurrencyHazard", 4, {"typescript": (((r"\bawait\s+(?=[\w.]+\()", "", "await dropped"),),)}, {"SilentLogicDrift": 0.75}),
+    Mutator("optional_chaining_drift", "silent_logic_drift", "SilentLogicDrift", 4, {
+        "python": (_LOOKUP,), "typescript": (((r"\?\.(?=\w)", ".", "optional chain dropped"),), ((r"\s\?\?\s[^;,)]+", "", "fallback dropped"),), _LOOKUP),
+    }, {"BreakingPublicAPI": 0.65}),
+    Mutator("unhandled_channel_read", "concurrency_hazard", "ConcurrencyHazard", 3, {
+        "go": (((r"(\w+)\s*,\s*ok\s*:=\s*<-\s*(\w+)", r"\1 := <-\2", "closed channel not told"),),),
+        "python": (((r"\.get\(\s*timeout\s*=\s*[^)]+\)", ".get()", "wait without end"),), ((r"\.get_nowait\(\)", ".get()", "wait without end"),)),
+    }, {"SilentLogicDrift": 0.8}),
+    Mutator("unclosed_resource", "resource_leak", "PerformanceRegression", 3, {
+        "python": (((r"^(\s*)with\s+(.+?)\s+as\s+(\w+)\s*:\s*$", r"\1\3 = \2\n\1if True:", "scope dropped"),), ((r"^(\s*)[\w.]+\.close\(\)\s*$", r"\1pass", "close dropped"),)),
+        "typescript": (_CLOSE,), "go": (((r"^\s*defer\s+[\w.]+\.Close\(\)\s*$", "", "close dropped"),), _CLOSE),
+        "rust": (((r"^(\s*)drop\((\w+)\);\s*$", r"\1std::mem::forget(\2);", "value leaked"),),),
+    }),
 )
 
 
 def mutants(source: str, language: str, mutators: tuple[Mutator, ...] = MUTATORS) -> list[tuple[str, str, str, str]]:
-    """``(mutator, category, note, mutated source)``; each mutant changes one place."""
+    """``(mutator, category, note, mutated source)``; each mutant changes one place and still parses."""
     lines, out = source.split("\n"), []
     for m in mutators:
-        if language not in m.languages:
-            continue
         made = 0
         for n, line in enumerate(lines):
-            if line.lstrip().startswith(("#", "//", "*")):
+            if not line.strip() or line.lstrip().startswith(("#", "//", "/*", "*")):
                 continue
-            for pattern, to, note in m.rules:
-                if language == "typescript" and pattern.startswith(r"\bif\s+") or language == "python" and pattern.startswith(r"\bif\s*\("):
-                    continue
-                changed = re.sub(pattern, to, line, count=1)
-                if changed != line:
-                    if language == "python" and changed.endswith(";"):
-                        changed = changed[:-1] + "pass"
-                    out.append((m.name, m.category, f"line {n + 1}: {note}", "\n".join([*lines[:n], changed, *lines[n + 1 :]])))
-                    made += 1
+            for group in m.rules.get(language, ()):
+                for pattern, to, note in group:
+                    changed = re.sub(pattern, to, line, count=1)
+                    if changed != line:
+                        text = "\n".join([*lines[:n], changed, *lines[n + 1 :]])
+                        if code.facts_of(text, language)["syntax_error"] is None:
+                            out.append((m.name, m.category, f"line {n + 1}: {note}", text))
+                            made += 1
+                        break
             if made >= m.most:
                 break
     return out
@@ -80,66 +97,56 @@ def mutants(source: str, language: str, mutators: tuple[Mutator, ...] = MUTATORS
 
 def _harvested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(path, *m) for path, source, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in mutants(source or "", g) if code.facts_of(m[3], g)["syntax_error"] is None]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], ["file_path", "mutator", "category", "note", "patch"])
+        rows = [(path, i, *m) for path, source, g in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, m in enumerate(mutants(source or "", g))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 1 else pa.string()) for i in range(6)], ["file_path", "place", "mutator", "category", "note", "patch"])
 
 
-def harvest(files: DataFrame, per_file: int = 6) -> DataFrame:
-    """Mutants that parse, at most ``per_file`` of each file: changes ready for ``verify``.
+def harvest(files: DataFrame) -> DataFrame:
+    """Mutants that parse, in the mutators' order: changes ready for ``verify``; test files give none.
 
-    ``patch_id, file_path, patch, is_replacement, mutator, category, note``; test files give none.
+    ``patch_id, file_path, patch, is_replacement, mutator, category, note, place``.
     """
     ship(files.sparkSession)
     rows = files.where(~in_test_file()).select("file_path", "content", language_of(F.col("file_path")).alias("language"))
-    made = rows.mapInArrow(_harvested, "file_path string, mutator string, category string, note string, patch string")
-    place = F.row_number().over(Window.partitionBy("file_path").orderBy("mutator", "note"))
-    made = made.withColumn("place", place).where(F.col("place") <= per_file).drop("place")
-    return made.withColumn("patch_id", F.sha2(F.concat_ws("|", "file_path", "mutator", "note"), 256)).withColumn("is_replacement", F.lit(True))
+    made = rows.mapInArrow(_harvested, "file_path string, place int, mutator string, category string, note string, patch string")
+    return made.withColumn("patch_id", F.sha2(F.concat_ws("|", "file_path", "mutator", "place", "note"), 256)).withColumn("is_replacement", F.lit(True))
 
 
-def risk_between(low: float, high: float, *keys: str) -> Column:
-    """A number in a range, fixed by a hash of the keys."""
-    return F.round(low + (high - low) * F.pmod(F.xxhash64(*keys), F.lit(10_000)) / 10_000, 4)
+def remarked(files: DataFrame, text: str = "reviewed, nothing changes here") -> DataFrame:
+    """One clean change of each file: a remark above its first line."""
+    mark = F.when(language_of(F.col("file_path")) == "python", F.lit(f"# {text}")).otherwise(F.lit(f"// {text}"))
+    patch = F.concat(F.lit("@@ -0,0 +1 @@\n+"), mark, F.lit("\n"))
+    return files.select(F.concat(F.lit("clean/"), "file_path").alias("patch_id"), "file_path", patch.alias("patch"), F.lit(False).alias("is_replacement"), F.lit("clean_pass").alias("category"), F.lit(1).alias("label"))
 
 
-def records_of(reports: DataFrame, changes: DataFrame) -> DataFrame:
-    """Labelled records of verified changes: a planted fault that the gate lets by is a reject with its class of risk.
+def surviving(files: DataFrame, per_file: int = 6, mutators: tuple[Mutator, ...] = MUTATORS) -> DataFrame:
+    """Pairs of records: of each file the first ``per_file`` mutants that the gate lets by, and as many clean changes.
 
-    ``changes`` has ``patch_id, category, label``; reports that the gate rejected are no subtle faults and go.
+    One batch verifies all mutants and one clean change of each file. ``pair`` tells which records belong together.
     """
-    rows = reports.where("status = 'APPROVED'").join(changes.select("patch_id", "category", "label"), "patch_id")
-    risk = F.when(F.col("label") == 1, risk_between(0.0, 0.2, "patch_id")).otherwise(risk_between(0.88, 0.95, "patch_id"))
-    rows = rows.withColumn("risk_score", risk)
-    scores = risk_map(F.col("category"), F.col("label"), F.col("risk_score"))
-    return rows.select("input_dsl", "label", "risk_score", "category", language_of(F.col("file_path")).alias("language"), scores.alias("taxonomy_labels"), F.lit(True).alias("symbolic_gate_passed"), F.lit("surviving_mutant").alias("source_type"))
-
+    scratch = Scratch(files.sparkSession, "mutants")
+    made = scratch.keep(harvest(files), "made")
+    clean = scratch.keep(remarked(files.join(made.select("file_path").distinct(), "file_path", "left_semi")), "clean")
+    changes = made.select("patch_id", "file_path", "patch", "is_replacement").unionByName(clean.select("patch_id", "file_path", "patch", "is_replacement"))
+    reports = scratch.keep(V.verify(files, changes).select("patch_id", "file_path", "status", "input_dsl"), "reports").where("status = 'APPROVED'").drop("file_path", "status")
+    kept = made.drop("patch").join(reports, "patch_id").withColumn("pair", F.row_number().over(Window.partitionBy("file_path").orderBy("place"))).where(F.col("pair") <= per_file)
+    score = risk_between(0.88, 0.95, "patch_id")
+    scores = F.create_map(*[x for c in RISK_CLASSES for x in (F.lit(c), reduce_when([(m.name, score if m.risk_class == c else F.round(score * m.beside[c], 4)) for m in mutators if c == m.risk_class or c in m.beside]))])
+    faults = kept.select("file_path", "pair", "input_dsl", F.lit(0).alias("label"), score.alias("risk_score"), "category", scores.alias("taxonomy_labels"), F.lit("surviving_mutant").alias("source_type"))
+    none = F.create_map(*[x for c in RISK_CLASSES for x in (F.lit(c), F.lit(0.0))])
+    bases = clean.select("patch_id", "file_path").join(reports, "patch_id").join(kept.select("file_path", "pair"), "file_path")
+    bases = bases.select("file_path", "pair", "input_dsl", F.lit(1).alias("label"), risk_between(0.02, 0.12, "patch_id", "pair").alias("risk_score"), F.lit("clean_pass").alias("category"), none.alias("taxonomy_labels"), F.lit("surviving_mutant_base").alias("source_type"))
+    return faults.unionByName(bases).withColumn("language", language_of(F.col("file_path"))).withColumn("symbolic_gate_passed", F.lit(True))
+
+
+def reduce_when(cases: list[tuple[str, Column]]) -> Column:
+    """The value of the first case whose name is the row's ``mutator``, else 0."""
+    out = F.when(F.lit(False), F.lit(0.0))
+    for name, value in cases:
+        out = out.when(F.col("mutator") == name, value)
+    return out.otherwise(0.0)
 
-def from_templates(templates: DataFrame, variants: int = 1) -> DataFrame:
-    """Changes of ``templates(name, target_file, patches map<kind, content>, category)``: one for each patch kind.
 
-    The kind ``pass`` is a clean change; any other is a fault. Variants differ in a leading comment only, so keep
-    them apart by ``label_conflicts`` and ``split_leakage`` before a split.
-    """
-    kinds = templates.select("name", "target_file", "category", F.explode("patches").alias("kind", "patch"), F.sequence(F.lit(1), F.lit(variants)).alias("n"))
-    rows = kinds.withColumn("n", F.explode("n"))
-    mark = F.when(F.col("target_file").endswith(".py"), "# variant ").otherwise("// variant ")
-    return rows.select(
-        F.concat_ws("/", "name", "kind", F.col("n").cast("string")).alias("patch_id"), F.col("target_file").alias("file_path"), F.when(F.col("n") > 1, F.concat(mark, F.col("n").cast("string"), F.lit("\n"), "patch")).otherwise(F.col("patch")).alias("patch"),
-        F.lit(True).alias("is_replacement"), F.when(F.col("kind") == "pass", "clean_pass").otherwise(F.col("category")).alias("category"), (F.col("kind") == "pass").cast("int").alias("label"),
-    )
-
-
-def mined_pairs(commits: DataFrame, commit_files: DataFrame, limit: int) -> DataFrame:
-    """Changes from history: ``commits(hash, subject, body)`` and ``commit_files(hash, file_path, before, after)``.
-
-    A revert's reverse is the fault it took back; a fix is clean and its reverse is the fault; other commits are
-    clean. A third of ``limit`` at most comes from each kind.
-    """
-    from ..functions.scalars import commit_kind
-
-    rows = commits.withColumn("what", commit_kind(F.col("subject"))).where("what is not null").join(commit_files, "hash")
-    one = lambda df, text, label, category, tag: df.select(F.concat_ws("/", "hash", "file_path", F.lit(tag)).alias("patch_id"), "file_path", F.col(text).alias("patch"), F.lit(True).alias("is_replacement"), F.lit(category).alias("category"), F.lit(label).alias("label"), "what")
-    fixes, reverts, clean = (rows.where(F.col("what") == w) for w in ("fix", "revert", "clean"))
-    every = one(reverts, "before", 0, "real_revert", "fault").unionByName(one(fixes, "after", 1, "real_hotfix", "fix")).unionByName(one(fixes, "before", 0, "real_hotfix", "fault")).unionByName(one(clean, "after", 1, "clean_commit", "clean"))
-    place = F.row_number().over(Window.partitionBy("what").orderBy("patch_id"))
-    return every.withColumn("place", place).where(F.col("place") <= max(1, limit // 3)).drop("place", "what")
+def risk_between(low: float, high: float, *keys: str) -> Column:
+    """A number in a range, fixed by a hash of the keys."""
+    return F.round(low + (high - low) * F.pmod(F.xxhash64(*keys), F.lit(10_000)) / 10_000, 4)

@@ -107,9 +107,12 @@ def locate(patches: DataFrame, files: DataFrame) -> DataFrame:
     """``patches(patch_id, file_path, patch, is_replacement)`` applied to ``files(file_path, content)``.
 
     One row for each patch and file: the patched file's facts, changed lines, and symbol names by role. Patches
-    that share an id are one change of several files.
+    that share an id are one change of several files. A patch may bring its own ``original`` text, which then
+    stands for the file's.
     """
     ship(patches.sparkSession)
-    rows = patches.join(files.select("file_path", F.col("content").alias("original")), "file_path", "left")
+    own = F.col("original").cast("string") if "original" in patches.columns else F.lit(None).cast("string")
+    rows = patches.withColumn("brought", own).drop("original").join(files.select("file_path", "content"), "file_path", "left")
+    rows = rows.withColumn("original", F.coalesce("brought", "content"))
     rows = rows.select(F.col("patch_id").cast("string"), "file_path", "patch", "is_replacement", "original", language_of(F.col("file_path")).alias("language"))
     return rows.mapInArrow(_located, f"patch_id string, file_path string, language string, {code.FACTS_SQL}, {_EXTRA}")

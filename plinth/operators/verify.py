@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -10,14 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import RISK_CLASSES, active_classes
+from ..functions.scalars import RISK_CLASSES, active_classes, confidence, tempered
 from ..session import Scratch
 from ..sources import code
 from . import gate as symbolic
 from . import graph, index, patches
 
 
-
 def count_tokens(text: str) -> int:
     return len(re.findall(r"[A-Za-z0-9_]+|[^\w\s]", text))
 
@@ -93,16 +94,51 @@ def heuristic(status: Column, violations: Column, cycles: Column, threshold: flo
     return F.struct(F.when(risk < threshold, "APPROVED").otherwise("REJECTED").alias("status"), F.when(veto, 1.0).otherwise(0.98).alias("confidence"), risk.alias("risk_score"), F.when(veto, 0.01).otherwise(0.02).alias("epistemic_uncertainty"), chart.alias("risk_taxonomy"))
 
 
-def verify(files: DataFrame, changes: DataFrame, hops: int = 1, max_fanout: int = 20, max_nodes: int = 50, threshold: float = 0.5, max_tokens: int = 400) -> DataFrame:
+def settings(threshold: float | None = None, temperature: float | None = None, config: str | None = None) -> tuple[float, float]:
+    """Threshold and temperature: as given, else of the environment, else of a JSON file, else 0.5 and 1."""
+    found = {}
+    if config and os.path.exists(config):
+        with open(config) as f:
+            found = json.load(f)
+    out = []
+    for given, name, key, default in ((threshold, "PLINTH_RISK_THRESHOLD", "default_decision_threshold", 0.5), (temperature, "PLINTH_TEMPERATURE", "calibrated_temperature", 1.0)):
+        try:
+            out.append(float(given if given is not None else os.environ.get(name, found.get(key, default))))
+        except ValueError:
+            out.append(default)
+    return out[0], out[1]
+
+
+def scored(reports: DataFrame, scores: DataFrame, threshold: float = 0.5, temperature: float = 1.0) -> DataFrame:
+    """``reports`` with the decision of a model that scored them elsewhere: ``scores(patch_id, risk_score[, log_variance])``.
+
+    The gate's veto stays; a change that it lets by takes the model's risk, tempered, and is approved below the
+    threshold. Without a score the heuristic decision stands.
+    """
+    spread = "log_variance" if "log_variance" in scores.columns else F.lit(-6.0)
+    given = scores.select("patch_id", tempered(F.col("risk_score"), temperature).alias("model_risk"), (F.lit(1.0) - confidence(F.col(spread) if isinstance(spread, str) else spread)).alias("model_doubt"))
+    rows = reports.join(given, "patch_id", "left")
+    free = (F.size("violations") == 0) & F.col("model_risk").isNotNull() & (F.col("risk_score") < 0.95)
+    risk = F.when(free, F.round("model_risk", 4)).otherwise(F.col("risk_score"))
+    status = F.when(free, F.when(F.col("model_risk") < threshold, "APPROVED").otherwise("REJECTED")).otherwise(F.col("status"))
+    doubt = F.when(free, F.round("model_doubt", 4)).otherwise(F.col("epistemic_uncertainty"))
+    sure = F.when(free, F.round(1 - F.col("model_doubt"), 4)).otherwise(F.col("confidence"))
+    return rows.withColumns({"status": status, "risk_score": risk, "epistemic_uncertainty": doubt, "confidence": sure}).drop("model_risk", "model_doubt")
+
+
+def verify(files: DataFrame, changes: DataFrame, hops: int = 1, max_fanout: int = 20, max_nodes: int = 50, threshold: float = 0.5, max_tokens: int = 400, overlays: DataFrame | None = None) -> DataFrame:
     """One report for each ``patch_id`` and file of ``changes(patch_id, file_path, patch, is_replacement)``.
 
     Columns: ``patch_id, file_path, status, confidence, risk_score, epistemic_uncertainty, risk_taxonomy,
     active_categories, violations, cycles, affected, input_dsl``. Files that share a patch id are judged together.
+    ``overlays(file_path, content)`` stand for the workspace's own files, as what is staged does for a dirty copy.
     """
+    if overlays is not None:
+        files = index.overlay(files.select("file_path", "content"), overlays.select("file_path", "content"))
     scratch = Scratch(files.sparkSession, "verify")
     located = scratch.keep(patches.locate(changes, files), "located")
     facts = scratch.keep(code.extract(files), "facts")
-    verdicts = scratch.keep(symbolic.gate(located, facts, files), "verdicts")
+    verdicts = scratch.keep(symbolic.gate(located, facts, files, hops), "verdicts")
     edges = scratch.keep(call_graph(facts, files), "edges")
     seeds = located.select("patch_id", "file_path", F.explode(F.array_distinct(F.concat("affected", "added", "deleted"))).alias("q")).select("patch_id", F.concat_ws("::", "file_path", "q").alias("node"))
     nodes, inside = graph.neighbourhood(edges, seeds, hops, max_fanout, max_nodes)

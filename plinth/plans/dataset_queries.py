@@ -78,7 +78,7 @@ _EDGE, _WORD = r"(^|[^\p{L}\p{N}_])", r"[\p{L}\p{N}_]*"
 
 
 def _context_case(name: str) -> str:
-    body = S.CONTEXT_WORDS[name].replace("*", _WORD)
+    body = S.CONTEXT_WORDS[name].replace(r"\w*", _WORD)
     return f"regexp_matches(t, '{_EDGE}({body})($|[^\\p{{L}}\\p{{N}}_])') AS {name.lower()}"
 
 
@@ -270,18 +270,28 @@ def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
 
 
-@register(
-    "r8_losses",
-    f"""WITH {RECORDS}, e AS (SELECT risk, 1 - label AS y, abs(risk - (1 - label)) AS e, least(greatest(risk, 1e-6), 1 - 1e-6) AS p, least(greatest(risk * 4 - 2, -6), 6) AS s FROM records)
-        SELECT avg(CASE WHEN e <= 0.1 THEN 0.5 * e * e ELSE 0.1 * (e - 0.05) END) AS huber, avg(-y * ln(p) - (1 - y) * ln(1 - p)) AS bce, avg(0.5 * exp(-s) * e * e + 0.5 * s) AS nll FROM e""",
-)
+_LOSSES = f"""WITH {RECORDS}, e AS (SELECT risk, 1 - label AS y, abs(risk - (1 - label)) AS e, least(greatest(risk, 1e-6), 1 - 1e-6) AS p, least(greatest(risk * 4 - 2, -6), 6) AS s FROM records),
+        l AS (SELECT avg(CASE WHEN e <= 0.1 THEN 0.5 * e * e ELSE 0.1 * (e - 0.05) END * (CASE WHEN y >= 0.5 THEN @WEIGHT@ ELSE 1.0 END)) AS huber, avg(-y * ln(p) - (1 - y) * ln(1 - p)) AS bce, avg(0.5 * exp(-s) * e * e + 0.5 * s) AS nll FROM e)"""
+
+
+def _scored_losses(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
+    return E.losses(records(spark, sf_dir).select("risk", (1 - F.col("label")).alias("target"), (F.col("risk") * 4 - 2).alias("log_variance")), **how)
+
+
+@register("r8_losses", _LOSSES.replace("@WEIGHT@", "1.0") + " SELECT *, huber + bce + nll AS total FROM l")
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.losses(records(spark, sf_dir).select("risk", (1 - F.col("label")).alias("target"), (F.col("risk") * 4 - 2).alias("log_variance")))
+    return _scored_losses(spark, sf_dir)
+
+
+@register("r8_weighted_losses", _LOSSES.replace("@WEIGHT@", "3.0") + " SELECT *, 0.5 / 0.25 * huber + 0.5 / 1.0 * bce + 0.5 / 4.0 * nll + ln(abs(0.5 * 1.0 * 2.0) + 1e-8) AS total FROM l")
+def r8_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_losses(spark, sf_dir, risk_weight=3.0, noise=(0.5, 1.0, 2.0))
 
 
-@register("e21_label_conflicts", f"WITH {RECORDS} SELECT sha256(input_dsl) AS text_sha, count(*) AS records, count(DISTINCT label) AS labels FROM records GROUP BY 1 HAVING count(DISTINCT label) > 1")
+@register("e21_label_conflicts", "SELECT sha256(text) AS text_sha, count(*) AS records, count(DISTINCT doc_id % 2) AS labels FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id % 2) > 1")
 def e21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.label_conflicts(records(spark, sf_dir))
+    """Copies carry one quality each in the shared tables, so the label is the id's parity here."""
+    return R.label_conflicts(_docs(spark, sf_dir, F.col("text").alias("input_dsl"), (F.col("doc_id") % 2).alias("label")).where("input_dsl is not null"))
 
 
 @register(
@@ -327,3 +337,69 @@ def r_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.when(F.col("toxic") == 1, F.array(F.lit("ARITY_MISMATCH: x"))).otherwise(F.array().cast("array<string>"))
     rows = records(spark, sf_dir).withColumn("violations", said).withColumn("d", heuristic(F.lit("APPROVED"), F.col("violations"), F.array().cast("array<array<string>>")))
     return rows.select("doc_id", "d.status", "d.confidence", "d.risk_score", F.array_join(S.active_classes(F.col("d.risk_taxonomy")), ",").alias("active"))
+
+
+@register(
+    "r7_scored_decisions",
+    f"""WITH {RECORDS}, m AS (SELECT *, least(greatest(risk, 1e-6), 1 - 1e-6) AS p, least(greatest((doc_id % 9) - 4, -6), 6) AS v FROM records),
+        s AS (SELECT *, 1 / (1 + exp(-ln(p / (1 - p)) / 1.5)) AS r, least(greatest(sqrt(exp(v)), 0), 1) AS doubt, toxic = 1 AS veto, doc_id % 5 = 0 AS alone FROM m)
+        SELECT doc_id AS patch_id, CASE WHEN veto THEN 'REJECTED' WHEN alone OR r < 0.4 THEN 'APPROVED' ELSE 'REJECTED' END AS status,
+               CASE WHEN veto THEN 0.95 WHEN alone THEN 0.05 ELSE round(r, 4) END AS risk_score, CASE WHEN veto THEN 0.01 WHEN alone THEN 0.02 ELSE round(doubt, 4) END AS epistemic_uncertainty FROM s""",
+)
+def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with the gate's veto on toxic rows, decided by scores that every fifth row lacks."""
+    from ..operators.verify import heuristic, scored
+
+    said = F.when(F.col("toxic") == 1, F.array(F.lit("ARITY_MISMATCH: x"))).otherwise(F.array().cast("array<string>"))
+    rows = records(spark, sf_dir).withColumn("violations", said).withColumn("d", heuristic(F.lit("APPROVED"), F.col("violations"), F.array().cast("array<array<string>>")))
+    reports = rows.select(F.col("doc_id").alias("patch_id"), "violations", "d.status", "d.confidence", "d.risk_score", "d.epistemic_uncertainty")
+    scores = rows.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("patch_id"), F.col("risk").alias("risk_score"), ((F.col("doc_id") % 9) - 4).cast("double").alias("log_variance"))
+    return scored(reports, scores, 0.4, 1.5).select("patch_id", "status", "risk_score", "epistemic_uncertainty")
+
+
+_POOLS = f"""WITH {RECORDS}, c AS (SELECT language, label, count(*) FILTER (doc_id % 3 = 0) AS own, count(*) AS n FROM records GROUP BY ALL)"""
+
+
+@register("e20_topped_up", f"{_POOLS} SELECT language, label, least(n, CASE language WHEN 'python' THEN 20 WHEN 'go' THEN 10 ELSE 0 END) AS records, least(own, CASE language WHEN 'python' THEN 20 WHEN 'go' THEN 10 ELSE 0 END) AS from_first FROM c WHERE language IN ('python', 'go')")
+def e20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.mining import topped_up
+
+    rows = _full(spark, sf_dir)
+    found = topped_up(rows.where("doc_id % 3 = 0"), rows.where("doc_id % 3 <> 0"), {"python": 40, "go": 20})
+    return found.groupBy("language", "label").agg(F.count("*").alias("records"), F.count_if(F.col("doc_id") % 3 == 0).alias("from_first"))
+
+
+@register(
+    "e20_expanded",
+    f"""WITH {RECORDS}, n AS (SELECT language, least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n FROM records WHERE toxic = 0 AND doc_id % 2 = 1 GROUP BY language),
+        v AS (SELECT *, greatest(1, CAST(floor(n * 0.2) AS BIGINT)) AS held FROM n WHERE n > 0), l AS (SELECT unnest([0, 1]) AS label)
+        SELECT 'train' AS split, language, label, n - held AS records FROM v, l WHERE n > held UNION ALL SELECT 'val', language, label, held FROM v, l""",
+)
+def e20_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.mining import expanded
+
+    fresh = _full(spark, sf_dir).where("doc_id % 2 = 1")
+    train, val = expanded(fresh.limit(0), fresh.limit(0), fresh)
+    both = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
+    return both.groupBy("split", "language", "label").agg(F.count("*").alias("records"))
+
+
+@register(
+    "e20_held_out",
+    f"""WITH {RECORDS}, k AS (SELECT *, regexp_replace(lower(trim(input_dsl)), '\\s+', ' ', 'g') AS k FROM records), left_ AS (SELECT * FROM k WHERE doc_id % 4 = 0 AND k NOT IN (SELECT k FROM k WHERE doc_id % 4 <> 0)),
+        n AS (SELECT language, least(count(*) FILTER (label = 1), count(*) FILTER (label = 0), 10) AS n FROM left_ GROUP BY language)
+        SELECT language, label, n AS records FROM n, (SELECT unnest([0, 1]) AS label) WHERE n > 0""",
+)
+def e20_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.mining import held_out
+
+    rows = _full(spark, sf_dir)
+    return held_out(rows.where("doc_id % 4 = 0"), rows.where("doc_id % 4 <> 0"), 20).groupBy("language", "label").agg(F.count("*").alias("records"))
+
+
+@register("t11_normal_paths", r"""SELECT page_id, regexp_replace(regexp_replace(replace(replace(url, '/', '\') || '//x', '\', '/'), '/+', '/', 'g'), '^https:/', '') AS path,
+    CASE WHEN suffix(url, 'l') THEN url[:-2] ELSE url END AS cut FROM pages""")
+def t11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    odd = F.concat(F.replace("url", F.lit("/"), F.lit("\\")), F.lit("//x"))
+    return rows.select("page_id", S.normal_path(odd, "https:").alias("path"), S.without_suffix(F.col("url"), "l").alias("cut"))

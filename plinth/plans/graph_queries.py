@@ -6,7 +6,7 @@ as often as four fifths of the pairs do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -74,62 +74,22 @@ def d8c(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    "b8_first_match",
-    """WITH k AS (SELECT o_orderkey, 1 AS rank, 'c' || o_custkey AS hit FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 2, 'p' || o_orderpriority FROM orders WHERE o_orderstatus = 'F'
-         UNION ALL SELECT o_orderkey, 3, 's' || o_orderstatus FROM orders) SELECT o_orderkey, arg_min(hit, rank) AS hit FROM k GROUP BY o_orderkey""",
+    "v9_capped_slice",
+    f"""WITH {TRADE}, both_ AS (SELECT src AS here, dst AS node, 0 AS section FROM edges UNION ALL SELECT dst, src, 2 FROM edges),
+        seeds AS (SELECT * FROM (VALUES (1, 3), (1, 8), (2, 12)) v(patch_id, node)),
+        steps AS (SELECT patch_id, here, b.node, section, row_number() OVER (PARTITION BY patch_id, here ORDER BY section, b.node) AS fan FROM seeds s JOIN both_ b ON b.here = s.node),
+        reached AS (SELECT patch_id, node, min((section, 0, here)) AS o FROM steps WHERE fan <= 4 AND (patch_id, node) NOT IN (SELECT patch_id, node FROM seeds) GROUP BY ALL),
+        size AS (SELECT patch_id, count(*) AS n FROM seeds GROUP BY ALL),
+        placed AS (SELECT r.*, n + row_number() OVER (PARTITION BY r.patch_id ORDER BY o, node) AS place FROM reached r JOIN size USING (patch_id)),
+        fulls AS (SELECT DISTINCT patch_id FROM placed WHERE place > 6), cut AS (SELECT DISTINCT patch_id, here FROM steps WHERE fan > 4)
+        SELECT patch_id, node, CAST(place AS INTEGER) AS place, 1 AS hop, false AS truncated FROM placed WHERE place <= 6
+        UNION ALL SELECT s.patch_id, s.node, CAST(row_number() OVER (PARTITION BY s.patch_id ORDER BY s.node) AS INTEGER), 0,
+          (s.patch_id, s.node) IN (SELECT patch_id, here FROM cut) OR s.patch_id IN (SELECT patch_id FROM fulls) FROM seeds s""",
 )
-def b8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _t(spark, sf_dir, "orders")
-    ladder = F.filter(F.array(F.when(F.col("o_totalprice") > 200000, F.concat(F.lit("c"), "o_custkey")), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("p"), "o_orderpriority")), F.concat(F.lit("s"), "o_orderstatus")), lambda x: x.isNotNull())
-    ranked = o.select("o_orderkey", F.posexplode(ladder).alias("rank", "hit"))
-    return ranked.groupBy("o_orderkey").agg(F.min_by("hit", "rank").alias("hit"))
-
-
-@register("v4_deleted", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
-def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "orders").select("o_orderkey").join(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-
-
-@register("v13_still_referenced", "SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0 GROUP BY c_custkey")
-def v13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = _t(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
-    return gone.join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").groupBy("c_custkey").agg(F.count("*").alias("n"))
-
-
-@register(
-    "v3_range_join",
-    """WITH s AS (SELECT user_id, min(event_id) AS a, min(event_id) + (max(event_id) - min(event_id)) // 4 AS b FROM events GROUP BY user_id)
-       SELECT s.user_id, count(*) AS inside FROM s JOIN events e ON e.event_id BETWEEN s.a AND s.b AND e.event_type = 'click' GROUP BY s.user_id""",
-)
-def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.ranges import interval_join
-
-    e = _t(spark, sf_dir, "events")
-    spans = e.groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("m")).select("user_id", "lo", (F.col("lo") + F.floor((F.col("m") - F.col("lo")) / 4)).alias("hi"))
-    return interval_join(spans, e.where("event_type = 'click'").select(F.col("event_id").alias("at")), width=512).groupBy("user_id").agg(F.count("*").alias("inside"))
-
-
-@register(
-    "x9_outside_spans",
-    "WITH s AS (SELECT user_id, min(event_id) AS a, min(event_id) + (max(event_id) - min(event_id)) // 50 AS b FROM events GROUP BY user_id) SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM s WHERE e.user_id = s.user_id AND e.event_id BETWEEN s.a AND s.b)",
-)
-def x9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").select("event_id", "user_id")
-    spans = e.groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("m")).select("user_id", "lo", (F.col("lo") + F.floor((F.col("m") - F.col("lo")) / 50)).alias("hi"))
-    return e.alias("e").join(spans.alias("s"), (F.col("e.user_id") == F.col("s.user_id")) & F.col("event_id").between(F.col("lo"), F.col("hi")), "left_anti").select("event_id")
-
-
-@register("v9_top_per_group", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 20")
 def v9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))
-    return _t(spark, sf_dir, "events").withColumn("r", rank).where("r <= 20").select("event_type", "event_id")
-
-
-@register("d14_symbol_text", "SELECT r_name, '[SYM] ' || string_agg(n_name, ' | ' ORDER BY n_nationkey) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "nation").join(F.broadcast(_t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # a fixed list of regions
-    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
-    return rows.groupBy("r_name").agg(F.concat(F.lit("[SYM] "), F.array_join(names, " | ")).alias("text"))
+    edges = trade_edges(spark, sf_dir).withColumns({"relation": F.lit("CALLS"), "ord": F.lit(0)})
+    nodes, _ = G.neighbourhood(edges, spark.createDataFrame([(1, 3), (1, 8), (2, 12)], "patch_id int, node int"), 1, 4, 6)
+    return nodes.select("patch_id", "node", "place", "hop", "truncated")
 
 
 @register("x_event_windows", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")

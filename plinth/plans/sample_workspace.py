@@ -126,3 +126,34 @@ PATCHES = [
     ("diff", "shop/prices.py", "--- a/shop/prices.py\n+++ b/shop/prices.py\n@@ -7,2 +7,3 @@\n def price_of(item, currency):\n+    item = str(item)\n     return lookup(item)[currency]\n", False),
     ("typescript", "web/store.ts", "export function load(ids: string[], depth: number, wide: boolean) { return ids; }\n", True),
 ]
+
+#: Sources with places for every mutator.
+SNIPPETS = {
+    "m/truth.py": "def f(a, b, c):\n    if not a:\n        return 1\n    elif b == c:\n        return 2\n    if a is None:\n        return 3\n    if b:\n        return 4\n    return c\n",
+    "m/more.py": "def g(q, d, items=None):\n    x = q.get(timeout=3)\n    y = d.get(\"k\", 0)\n    with open(\"p\") as h:\n        z = h.read()\n    h.close()\n    return x, y, z, items\n",
+    "m/a.ts": "export async function f(a: any, b: any) {\n  if (a === b) { return 1; }\n  if (!a) { return 2; }\n  const c = await b.go();\n  const d = a?.e ?? 3;\n  return d;\n}\n",
+    "m/a.go": "package m\n\nfunc f(ch chan int, err error) int {\n\tif err != nil {\n\t\treturn 1\n\t}\n\tv, ok := <-ch\n\tdefer ch.Close()\n\treturn v\n}\n",
+    "m/a.rs": "fn f(a: i32, b: i32) -> bool {\n    drop(a);\n    a == b\n}\n",
+    "m/test_skipped.py": "def test_f(a):\n    if a:\n        return 1\n",
+}
+
+
+def generated_workspace(files: int, functions: int = 6, calls: int = 30) -> dict[str, str]:
+    """A workspace by rule: every function has a name of its own and calls functions of its own and of the next module.
+
+    About ``files * calls`` call sites; the last two functions of a module are called by nothing but each other.
+    """
+    made = {}
+    for n in range(files):
+        other = (n + 1) % files
+        parts = [f"from .m{other:04} import f{other:04}_0, f{other:04}_1\n\n"]
+        each = calls // functions
+        for k in range(functions):
+            mine = [f"f{other:04}_{c % 2}" if c % 3 == 0 else f"f{n:04}_{(k + c) % (functions - 2)}" for c in range(each)]
+            if k == functions - 2:
+                mine[0] = f"f{n:04}_{functions - 1}"
+            body = "".join(f"    {'x = ' if c else ''}{name}(x)\n" for c, name in enumerate(mine))
+            parts.append(f"\ndef f{n:04}_{k}(x, y=None):\n    for row in x:\n        y = row\n{body}    return y\n")
+        made[f"pkg/m{n:04}.py"] = "\n".join(parts)
+    made["pkg/main.py"] = "from .m0000 import f0000_0\n\n\ndef main():\n    return f0000_0([])\n"
+    return made

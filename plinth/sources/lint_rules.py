@@ -9,40 +9,35 @@ from typing import Any
 RULES = {"PERF001": "warn", "PERF002": "warn", "PERF003": "error", "PERF004": "error"}
 
 #: Method names that query or fetch.
-IO_METHODS = frozenset(
-    "query execute exec find find_one find_many find_first find_unique find_by select select_all fetch fetchall fetchone fetchmany raw_query queryrow query_row post upsert save "
-    "query_context exec_context query_row_context querycontext execcontext queryrowcontext findone findmany findunique findfirst findby".split()
-)
+IO_METHODS = frozenset({"query", "execute", "exec", "find", "find_one", "find_many", "find_first", "find_unique", "find_by", "select", "select_all", "fetch", "fetchall", "fetchone", "fetchmany", "raw_query", "queryrow", "query_row", "post", "upsert", "save", "query_context", "exec_context", "query_row_context", "querycontext", "execcontext", "queryrowcontext", "findone", "findmany", "findunique", "findfirst", "findby"})
 #: Functions that do I/O by themselves.
-IO_FUNCTIONS = frozenset("fetch query execute select urlopen".split())
+IO_FUNCTIONS = frozenset({"fetch", "query", "execute", "select", "urlopen"})
 #: receivers' beginnings that mean a request.
-IO_PREFIXES = tuple(
-    "requests. http.get http.post http.head http.postform http.do client.get client.post client.do axios. reqwest:: urllib.request. aiohttp. httpx. api. session. httpclient. http_client. service. c.post hc.post".split()
-)
+IO_PREFIXES = ("requests.", "http.get", "http.post", "http.head", "http.postform", "http.do", "client.get", "client.post", "client.do", "axios.", "reqwest::", "urllib.request.", "aiohttp.", "httpx.", "api.", "session.", "httpclient.", "http_client.", "service.", "c.post", "hc.post")
 #: Words of a receiver that make update, insert and delete a database write.
-STORE_WORDS = frozenset("db database repo repository table tables model models conn connection cursor collection collections dao entity entities sql".split())
+STORE_WORDS = frozenset({"db", "database", "repo", "repository", "table", "tables", "model", "models", "conn", "connection", "cursor", "collection", "collections", "dao", "entity", "entities", "sql"})
 #: Words of a receiver that make get a request.
-REMOTE_WORDS = frozenset("http client request requests api session service db fetch conn connection rest remote".split())
+REMOTE_WORDS = frozenset({"http", "client", "request", "requests", "api", "session", "service", "db", "fetch", "conn", "connection", "rest", "remote"})
 
 #: Calls that open something, by language.
 OPEN_NAMES = {
-    "python": frozenset("open socket.socket socket.create_connection os.open".split()),
-    "rust": frozenset("Box::leak std::boxed::Box::leak Box::into_raw std::boxed::Box::into_raw CString::into_raw std::ffi::CString::into_raw std::mem::forget mem::forget std::mem::ManuallyDrop::new ManuallyDrop::new".split()),
+    "python": frozenset({"open", "socket.socket", "socket.create_connection", "os.open"}),
+    "rust": frozenset({"Box::leak", "std::boxed::Box::leak", "Box::into_raw", "std::boxed::Box::into_raw", "CString::into_raw", "std::ffi::CString::into_raw", "std::mem::forget", "mem::forget", "std::mem::ManuallyDrop::new", "ManuallyDrop::new"}),
 }
 OPEN_PREFIXES = {
-    "typescript": tuple("fs.open fs.createReadStream fs.createWriteStream net.connect net.createConnection tls.connect".split()),
-    "go": tuple("os.Open os.OpenFile os.Create net.Dial net.DialTimeout net.Listen sql.Open http.Get http.Post http.Head".split()),
+    "typescript": ("fs.open", "fs.createReadStream", "fs.createWriteStream", "net.connect", "net.createConnection", "tls.connect"),
+    "go": ("os.Open", "os.OpenFile", "os.Create", "net.Dial", "net.DialTimeout", "net.Listen", "sql.Open", "http.Get", "http.Post", "http.Head"),
 }
 #: Receivers whose connect opens a connection.
-CONNECT_WORDS = tuple("sqlite psycopg mysql asyncpg db database postgres engine sql".split())
+CONNECT_WORDS = ("sqlite", "psycopg", "mysql", "asyncpg", "db", "database", "postgres", "engine", "sql")
 
 #: Blocking calls by language.
 BLOCKING = {
-    "python": (frozenset("time.sleep sleep open urllib.request.urlopen os.system os.popen".split()), tuple("requests. subprocess. urllib. urllib3. httpx.".split())),
-    "rust": (frozenset("std::thread::sleep thread::sleep".split()), tuple("std::fs:: fs::".split())),
+    "python": (frozenset({"time.sleep", "sleep", "open", "urllib.request.urlopen", "os.system", "os.popen"}), ("requests.", "subprocess.", "urllib.", "urllib3.", "httpx.")),
+    "rust": (frozenset({"std::thread::sleep", "thread::sleep"}), ("std::fs::", "fs::")),
 }
 #: Names of an async client that do not block.
-NOT_BLOCKING = frozenset("httpx.Timeout httpx.Limits".split())
+NOT_BLOCKING = frozenset({"httpx.Timeout", "httpx.Limits"})
 
 _NAME = re.compile(r"[A-Za-z_]\w*", re.ASCII)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_path
+from ..session import Scratch, drop_path
 from ..streaming.incremental import changed
 from . import code
 
@@ -30,7 +30,8 @@ def refresh(spark: SparkSession, files: DataFrame, root: str, force: bool = Fals
     else:
         old_files = spark.createDataFrame([], "path string, mtime timestamp, sha string")
         old_facts = None
-    fresh, touched, stale = changed(listing, old_files)
+    scratch = Scratch(spark, "refresh")
+    fresh, touched, stale = (scratch.keep(part, n) for part, n in zip(changed(listing, old_files), ("fresh", "touched", "stale"), strict=True))
     facts = code.extract(fresh.select(F.col("path").alias("file_path"), "content"))
     if old_facts is not None:
         gone = fresh.select("path").union(stale.select("path"))
@@ -40,23 +41,35 @@ def refresh(spark: SparkSession, files: DataFrame, root: str, force: bool = Fals
     version = f"v-{uuid.uuid4().hex[:12]}"
     facts.write.parquet(f"{root}/{version}/facts")
     state.write.parquet(f"{root}/{version}/files")
-    done = {"scanned": listing.count(), "reindexed": fresh.count(), "symbols_indexed": spark.read.parquet(f"{root}/{version}/facts").agg(F.sum(F.size("symbols"))).first()[0] or 0}
+    written = spark.read.parquet(f"{root}/{version}/facts")
+    done = {"scanned": spark.read.parquet(f"{root}/{version}/files").count(), "reindexed": fresh.count(), "symbols_indexed": written.agg(F.sum(F.size("symbols"))).first()[0] or 0}
     _point(spark, root, version)
-    if name:
-        drop_path(spark, f"{root}/{name}")
+    _prune(spark, root, {version, name})
+    scratch.close()
     return done
 
 
 def _point(spark: SparkSession, root: str, version: str) -> None:
-    """Write the pointer beside the old one and rename it over."""
-    jvm = spark.sparkContext._jvm
+    """Write the pointer beside the old one and rename it over, in one step: there is always a pointer."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.create(path(f"{root}/.next-{version}"), True)
+    fresh, pointer = path(f"{root}/.next-{version}"), path(f"{root}/CURRENT.txt")
+    stream = fresh.getFileSystem(conf).create(fresh, True)
     stream.write(version.encode())
     stream.close()
-    fs.delete(path(f"{root}/CURRENT.txt"), False)
-    fs.rename(path(f"{root}/.next-{version}"), path(f"{root}/CURRENT.txt"))
+    mode = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(mode, 1)
+    over[0] = mode.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(fresh, pointer, over)
+
+
+def _prune(spark: SparkSession, root: str, kept: set[str | None]) -> None:
+    """Drop snapshots but ``kept``: the new one, and the one before it, which readers may still be at."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    for found in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path):
+        name = found.getPath().getName()
+        if name.startswith("v-") and name not in kept:
+            drop_path(spark, f"{root}/{name}")
 
 
 def clean(spark: SparkSession, root: str) -> None:

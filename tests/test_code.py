@@ -150,14 +150,15 @@ def test_linearise_keeps_its_budget():
 
 def test_dead_code(spark):
     files = workspace(spark, **{"m.py": "def main():\n    live()\ndef live(): pass\ndef a(): b()\ndef b(): c()\ndef c(): pass\ndef x(): y()\ndef y(): x()\ndef selfish(): selfish()\nclass K:\n    @property\n    def p(self): return 1\n    def __len__(self): return 0\nmain()\nK()\n", "tests/t.py": "def helper(): pass\n", "api.py": "@app.get('/x')\ndef route(): pass\n"})
-    got = {r.symbol_id: (r.dead_kind, r.cluster_root) for r in dead_code.dead_symbols(code.extract(files), files).collect()}
+    got, far = ({r.symbol_id: (r.dead_kind, r.cluster_root) for r in dead_code.dead_symbols(code.extract(files), files, one_task=limit).collect()} for limit in (1 << 20, -1))
+    assert got == far
     assert got == {"m.py::a": ("orphan", None), "m.py::b": ("transitive", "m.py::a"), "m.py::c": ("transitive", "m.py::a"), "m.py::x": ("transitive", "m.py::x"), "m.py::y": ("transitive", "m.py::x"), "m.py::selfish": ("orphan", None)}
 
 
 def test_lint(spark):
     text = "import time\nasync def f(db, rows):\n    for a in rows:\n        for b in rows:\n            for c in rows:\n                db.query(c)\n    time.sleep(1)\n    h = open('x')\n    with open('y') as g: pass\n    return open('z')\nasync def g2(rows):\n    for a in rows:  # any: ignore-perf\n        db.query(a)\n    # any: ignore-perf[PERF004]\n    time.sleep(2)\n    await sleep(1)\n"
     files = workspace(spark, m=text)
-    got = [(r.rule_id, r.lineno, r.severity) for r in lint.diagnostics(code.extract(files), files).collect()]
+    got = [(r.rule_id, r.lineno, r.severity) for r in lint.diagnostics(code.extract(files), files).orderBy("lineno", "col").collect()]
     assert got == [("PERF001", 4, "warn"), ("PERF001", 5, "error"), ("PERF002", 6, "warn"), ("PERF004", 7, "error"), ("PERF003", 8, "error"), ("PERF004", 8, "error"), ("PERF004", 9, "error"), ("PERF004", 10, "error")]
     assert lint.diagnostics(code.extract(files), files, "error").where("severity = 'warn'").count() == 0
 
@@ -211,3 +212,89 @@ def test_callers_need_no_resolution(spark):
     wanted = spark.createDataFrame([("stop",)], "key string")
     assert {r.caller_id for r in index.callers_of(code.calls(code.extract(files)), wanted).collect()} == {"m::A", "m::A.go", "m::f"}
     assert index.caller_index(code.calls(code.extract(files))).where(F.col("key") == "A.stop").count() == 1
+
+
+def _changes(spark, rows):
+    return spark.createDataFrame(rows, Q.changes(spark).schema)
+
+
+def test_import_cycles_list_every_member(spark):
+    files = workspace(spark, **{"a.py": "from b import f\n", "b.py": "from c import f\n", "c.py": "def f(): pass\n", "d.py": "import a\n"})
+    rows = [("close", "c.py", "import a\ndef f(): pass\n", True), ("open", "c.py", "import d2\ndef f(): pass\n", True), ("through", "c.py", "import d\ndef f(): pass\n", True)]
+    got = {r.patch_id: r for r in verify.verify(files, _changes(spark, rows)).collect()}
+    ring = [sorted(c) for c in got["close"].cycles]
+    assert ring == [["a.py", "b.py", "c.py"]] and got["close"].cycles[0][0] == "a.py" and got["open"].cycles == []
+    assert [sorted(c) for c in got["through"].cycles] == [["a.py", "b.py", "c.py", "d.py"]]
+    assert any("import cycle: a.py -> b.py -> c.py -> a.py" in v for v in got["close"].violations)
+
+
+def test_call_cycles_reach_as_far_as_the_slice(spark):
+    chain = "def a(): pass\n" + "".join(f"def {x}(): {y}()\n" for x, y in zip("bcdef", "abcde", strict=True))
+    files, rows = workspace(spark, **{"m.py": chain, "n.py": "from m import f\ndef top(): f()\n"}), [("p", "n.py", "from m import f\ndef top(): f()\ndef own(): own2()\ndef own2(): own()\n", True)]
+    got = verify.verify(files, _changes(spark, rows)).collect()[0]
+    assert [sorted(c) for c in got.cycles] == [["n.py::own", "n.py::own2"]]
+    far = workspace(spark, **{"a.py": "from b import g\ndef f(): g()\n", "b.py": "from c import h\ndef g(): h()\n", "c.py": "from d import k\ndef h(): k()\n", "d.py": "def k(): pass\n"})
+    rows = [("p", "d.py", "from a import f\ndef k(): f()\n", True)]
+    near, wide = (verify.verify(far, _changes(spark, rows), hops=n).collect()[0].cycles for n in (0, 3))
+    assert not [c for c in near if "::" in c[0]] and [sorted(c) for c in wide if "::" in c[0]] == [["a.py::f", "b.py::g", "c.py::h", "d.py::k"]]
+
+
+def test_overlays_stand_for_the_workspace(spark):
+    files = workspace(spark, **{"lib.py": "def f(x): pass\n", "use.py": "from lib import f\ndef g(): f(1)\n"})
+    patch = _changes(spark, [("p", "use.py", "from lib import f\ndef g(): f(1, 2)\n", True)])
+    assert verify.verify(files, patch).first().status == "REJECTED"
+    staged = workspace(spark, **{"lib.py": "def f(x, y): pass\n"})
+    assert verify.verify(files, patch, overlays=staged).first().status == "APPROVED"
+
+
+def test_settings_by_precedence(tmp_path, monkeypatch):
+    path = tmp_path / "c.json"
+    path.write_text('{"default_decision_threshold": 0.3, "calibrated_temperature": 2}')
+    assert verify.settings(config=str(path)) == (0.3, 2.0) and verify.settings() == (0.5, 1.0)
+    monkeypatch.setenv("PLINTH_RISK_THRESHOLD", "0.7")
+    monkeypatch.setenv("PLINTH_TEMPERATURE", "warm")
+    assert verify.settings(config=str(path)) == (0.7, 1.0) and verify.settings(0.2, 3, str(path)) == (0.2, 3.0)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_graph_walks_agree(spark, limit):
+    """One task and distributed rounds give the same reach, components and clusters."""
+    pairs = [("a", "b"), ("b", "c"), ("c", "b"), ("d", "d"), ("e", graph.NAME + "n k"), (graph.NAME + "n k", "f"), (graph.NAME + "n k", "e"), ("g", graph.NAME + "n h"), (graph.NAME + "n h", "g"), ("x", "y"), ("y", "x"), ("z", "y"), ("l", "a")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    dead = spark.createDataFrame([(n,) for n in "abcdefgxyz"], "node string")
+    got = {r.node: (r.kind, r.root) for r in graph.dead_clusters(edges, dead, limit).collect()}
+    assert got == {"a": ("orphan", None), "b": ("transitive", "a"), "c": ("transitive", "a"), "d": ("orphan", None), "e": ("orphan", None), "f": ("transitive", "e"), "g": ("orphan", None), "x": ("transitive", "z"), "y": ("transitive", "z"), "z": ("orphan", None)}
+    reach = {r.node: r.depth for r in graph.reachable(edges, spark.createDataFrame([("l",), ("none",), (None,)], "node string"), one_task=limit).collect()}
+    assert reach == {"l": 0, "none": 0, "a": 1, "b": 2, "c": 3}
+    assert {r.node for r in graph.reachable(edges, spark.createDataFrame([("l",)], "node string"), 1, limit).collect()} == {"l", "a"}
+    parts = {r.node: r.component for r in graph.strong_components(edges.where("src not like '\\0%' and dst not like '\\0%'"), limit).collect()}
+    assert parts["b"] == parts["c"] == "b" and parts["x"] == parts["y"] == "x" and parts["a"] == "a" and parts["z"] == "z"
+
+
+def test_generated_workspace(spark):
+    from plinth.plans.sample_workspace import generated_workspace
+
+    files = spark.createDataFrame(sorted(generated_workspace(6).items()), "file_path string, content string")
+    facts = code.extract(files)
+    dead = {r.symbol_id: r.cluster_root for r in dead_code.dead_symbols(facts, files).collect()}
+    assert {k.split("_")[-1] for k in dead} <= {"4", "5", "2", "3"} and facts.where("syntax_error is not null").count() == 0
+
+
+def test_patch_lint_and_reports(spark):
+    from plinth.operators import reports
+
+    found = Q.patch_findings(spark, "").orderBy("patch_id")
+    assert reports.table(found).splitlines()[0].split() == ["patch_id", "file_path", "lineno", "rule_id", "severity"]
+    assert reports.markdown(found).splitlines()[2] == "| deep | a.py | 3 | PERF001 | warn |" and '"patch_id": "io"' in reports.as_json(found)
+    assert "2 findings" in lint.report_text(lint.diagnostics(code.extract(workspace(spark, **{"a.py": "def f(r):\n    for a in r:\n        for b in a:\n            q.query(b)\n"})), workspace(spark, **{"a.py": "def f(r):\n    for a in r:\n        for b in a:\n            q.query(b)\n"})))
+
+
+def test_body_places():
+    from plinth.operators.mining import _hunk, _inserted, _opened_body, _with_parameter
+
+    assert _opened_body(["def f(a,", "      b={1: 2}):  # x", "    pass"], 1, 3, "python") == (2, 16)
+    assert _opened_body(["def f(): pass"], 1, 1, "python") is None and _opened_body(["fn f() { 1 }"], 1, 1, "rust") == (1, 8)
+    assert _with_parameter("    def f(self, a):", "f", "z") == "    def f(self, z, a):" and _with_parameter("def f():", "f", "z") == "def f(z):" and _with_parameter("fn f(&mut self) {", "f", "z: i32") == "fn f(&mut self, z: i32) {"
+    text = "def f():\n    return 1\n"
+    for diff, want in ((_inserted(text.split("\n"), (1, 8), "x = 1", "python"), "def f():\n    x = 1\n    return 1\n"), (_hunk(0, [], ["import a"]), "import a\n" + text), (_hunk(1, ["def f():", "    return 1"], []), "")):
+        assert patches.apply(text, diff)[0].strip() == want.strip()
