@@ -75,6 +75,9 @@ def _entered(wanted: DataFrame, old_symbols: DataFrame, new_symbols: DataFrame,
         return outside(old_symbols.join(keys, "name")).unionByName(new_symbols.join(keys, ["patch_id", "name"]), allowMissingColumns=True)
 
     names = scratch.keep(wanted.select("patch_id", "name").distinct(), "ctor_names0")
+    if names.isEmpty():
+        kinds = dict(old_symbols.dtypes)
+        return old_symbols.sparkSession.createDataFrame([], f"patch_id string, class_id string, name string, params {kinds['params']}, is_method boolean")
     asked, family, step = names, wanted, 0
     while not names.isEmpty():
         step += 1
@@ -93,24 +96,90 @@ def _entered(wanted: DataFrame, old_symbols: DataFrame, new_symbols: DataFrame,
     return found.join(last, ["patch_id", "ctor_id"]).select("patch_id", "class_id", "s.*")
 
 
-def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame, hops: int = 1) -> DataFrame:
+def _rings(rows: Iterator[tuple[Any, ...]]) -> list[tuple[Any, ...]]:
+    """``(patch, cycle)`` of import edges ``(patch, src, dst)`` - no patch: the base's, no ``dst``: a file that the patch has."""
+    base: dict[str, list[str]] = {}
+    own: dict[str, dict[str, list[str]]] = {}
+    for patch, a, b in rows:
+        if patch is None:
+            base.setdefault(a, []).append(b)
+        else:
+            mine = own.setdefault(patch, {}).setdefault(a, [])
+            if b is not None:
+                mine.append(b)
+    out = []
+    for patch, mine in own.items():
+        ahead = _Over(base, mine)
+        reach = graph.walk(dict.fromkeys(mine), ahead)
+        out += [(patch, c) for c in graph.tarjan({n: ahead.get(n, []) for n in reach}) if any(n in mine for n in c)]
+    return out
+
+
+class _Over(dict):
+    """An adjacency with some nodes' edges replaced."""
+
+    def __init__(self, base: dict[str, list[str]], own: dict[str, list[str]]):
+        super().__init__(own)
+        self.base = base
+
+    def get(self, node: str, default: Any = None) -> Any:
+        return self[node] if node in self else self.base.get(node, default)
+
+
+def _rings_at_scale(stays: DataFrame, fresh: DataFrame, touched: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same by rounds: backwards from each patched file, then components among what leads back to it."""
+    frontier = seen = scratch.keep(touched.select("patch_id", F.col("touched").alias("home"), F.col("touched").alias("node")), "back0")
+    hop = 0
+    while True:
+        hop += 1
+        back = frontier.join(stays, F.col("dst") == F.col("node")).select("patch_id", "home", F.col("src").alias("node"))
+        back = back.join(touched.withColumnRenamed("touched", "node"), ["patch_id", "node"], "left_anti")
+        back = back.unionByName(frontier.join(fresh.withColumnRenamed("dst", "node"), ["patch_id", "node"]).select("patch_id", "home", F.col("src").alias("node")))
+        frontier = scratch.keep(back.distinct().join(seen, ["patch_id", "home", "node"], "left_anti"), f"back{hop}")
+        if frontier.isEmpty():
+            break
+        seen = scratch.keep(seen.unionByName(frontier), f"seen{hop}")
+    # A patched file is in a cycle where it imports what leads back to it; the component is found among what leads back.
+    closing = fresh.join(seen, (fresh["patch_id"] == seen["patch_id"]) & (fresh["src"] == seen["home"]) & (fresh["dst"] == seen["node"])).select(fresh["patch_id"], F.col("src").alias("home")).distinct()
+    around = scratch.keep(seen.join(closing, ["patch_id", "home"]), "around")
+    tail, head = around.withColumnRenamed("node", "src"), around.withColumnRenamed("node", "dst")
+    kept = tail.join(touched.withColumnRenamed("touched", "src"), ["patch_id", "src"], "left_anti").join(stays, "src").join(head, ["patch_id", "home", "dst"], "left_semi")
+    made = tail.join(fresh, ["patch_id", "src"]).join(head, ["patch_id", "home", "dst"], "left_semi")
+    ring = kept.select("patch_id", "home", "src", "dst").unionByName(made.select("patch_id", "home", "src", "dst"))
+    ring = graph.cycles_by_key(ring.withColumn("key", F.to_json(F.struct("patch_id", "home"))), "key")
+    ring = ring.withColumn("k", F.from_json("key", "patch_id string, home string")).where(F.array_contains("cycle", F.col("k.home")))
+    return ring.select(F.col("k.patch_id").alias("patch_id"), "cycle").distinct()
+
+
+def import_rings(stays: DataFrame, fresh: DataFrame, touched: DataFrame, scratch: Scratch, one_task: int = graph.ONE_TASK_EDGES) -> DataFrame:
+    """``(patch_id, cycle)``: the strong components of each patch's import graph that hold one of its files.
+
+    ``stays(src, dst)`` are the base's edges, ``fresh(patch_id, src, dst)`` those of patched files, which replace the
+    base's. One task walks them while edges times patches are few; beyond that, rounds of joins.
+    """
+    rows = stays.select(F.lit(None).cast("string").alias("patch_id"), "src", "dst").unionByName(fresh.select("patch_id", "src", "dst"))
+    rows = scratch.keep(rows.unionByName(touched.select("patch_id", F.col("touched").alias("src"), F.lit(None).cast("string").alias("dst"))), "imports")
+    size = rows.agg(F.count("*"), F.count_distinct("patch_id")).first()
+    if size[0] * max(1, size[1]) <= one_task:
+        return graph.whole(rows, _rings, "patch_id string, cycle array<string>")
+    return _rings_at_scale(stays, fresh, touched, scratch)
+
+
+def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame, hops: int = 1, resolved_imports: DataFrame | None = None, calls_between: DataFrame | None = None) -> DataFrame:
     """``(patch_id, status, confidence, violations, cycles)`` for every patch of ``located`` (see ``patches.locate``).
 
     Call cycles are those of the slice ``hops`` calls around the changed symbols; import cycles are the strong
-    components of the patch's own workspace that hold a patched file.
+    components of the patch's own workspace that hold a patched file. ``located`` and ``base_facts`` are read often,
+    so they should be written tables; the base's resolved imports and call edges are worked out where not given.
     """
-    spark = located.sparkSession
-    scratch = Scratch(spark, "gate")
-    located = scratch.keep(located, "located")
-    base = scratch.keep(base_facts, "base")
+    scratch = Scratch(located.sparkSession, "gate")
+    base = base_facts
     broken = located.where("syntax_error is not null").select("patch_id", F.concat_ws(": ", "file_path", "syntax_error").alias("violation"))
-    fine = located.join(broken.select("patch_id").distinct(), "patch_id", "left_anti")
+    fine = scratch.keep(located.join(broken.select("patch_id").distinct(), "patch_id", "left_anti"), "fine")
     touched = fine.select("patch_id", F.col("file_path").alias("touched"))
 
-    new_symbols = scratch.keep(code.symbols(fine, "patch_id"), "new_symbols")
-    new_calls = scratch.keep(code.calls(fine, "patch_id"), "new_calls")
-    new_imports = scratch.keep(code.imports(fine, "patch_id"), "new_imports")
-    old_symbols, old_calls, old_imports = (scratch.keep(f(base), n) for f, n in ((code.symbols, "old_symbols"), (code.calls, "old_calls"), (code.imports, "old_imports")))
+    new_symbols, new_calls, new_imports = (f(fine, "patch_id") for f in (code.symbols, code.calls, code.imports))
+    old_symbols, old_calls, old_imports = (f(base) for f in (code.symbols, code.calls, code.imports))
     changed = fine.select("patch_id", "file_path", F.explode(F.array_distinct(F.concat("affected", "added"))).alias("qualname"))
     mine = new_symbols.join(changed, ["patch_id", "file_path", "qualname"], "left_semi")
 
@@ -153,7 +222,7 @@ def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame, hops: int
     other = new_symbols.select("patch_id", "name").unionByName(outside(old_symbols.join(gone.select("patch_id", F.col("short").alias("name")).distinct(), "name")).select("patch_id", "name")).distinct()
     still = still.withColumn("name", last_segment(F.col("qualname"))).join(other, ["patch_id", "name"], "left_anti")
     imported = outside(old_imports.join(gone.select("patch_id", F.col("short").alias("name"), "qualname", "home"), "name"))
-    resolved_old = scratch.keep(index.resolve_imports(old_imports, files), "resolved_old")
+    resolved_old = resolved_imports if resolved_imports is not None else scratch.keep(index.resolve_imports(old_imports, files), "resolved_old")
     aim = resolved_old.select("file_path", "imp_ord", "target")
     imported = imported.join(aim, ["file_path", "imp_ord"]).where("target = home").select("patch_id", "qualname", "home", F.col("file_path").alias("caller_id"), "lineno")
     message = F.format_string("BROKEN_REFERENCE: '%s::%s' is gone but '%s' line %d still uses it", "home", "qualname", "caller_id", "lineno")
@@ -173,9 +242,11 @@ def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame, hops: int
     violations = violations.unionByName(lost)
 
     # Call cycles: among the changed symbols, what they call, and what lies up to ``hops`` calls around them.
-    base_edges = scratch.keep(index.resolve_calls(old_calls, old_symbols, resolved_old).where("target_id is not null").select(F.col("caller_id").alias("src"), F.col("target_id").alias("dst"), "file_path").distinct(), "base_edges")
-    own_edges = scratch.keep(aimed.select("patch_id", F.col("caller_id").alias("src"), F.col("target_id").alias("dst")).where("src <> dst").distinct(), "own_edges")
-    seeds = scratch.keep(changed.select("patch_id", F.concat_ws("::", "file_path", "qualname").alias("node")).distinct(), "seeds")
+    if calls_between is None:
+        calls_between = scratch.keep(index.resolve_calls(old_calls, old_symbols, resolved_old).where("target_id is not null").select(F.col("caller_id").alias("src"), F.col("target_id").alias("dst")).distinct(), "base_edges")
+    base_edges = calls_between.select("src", "dst", F.element_at(F.split("src", "::"), 1).alias("file_path"))
+    own_edges = aimed.select("patch_id", F.col("caller_id").alias("src"), F.col("target_id").alias("dst")).where("src <> dst").distinct()
+    seeds = changed.select("patch_id", F.concat_ws("::", "file_path", "qualname").alias("node")).distinct()
     near_by = seeds
 
     def beside(nodes: DataFrame, here: str, there: str) -> DataFrame:
@@ -190,30 +261,7 @@ def gate(located: DataFrame, base_facts: DataFrame, files: DataFrame, hops: int
     edges = inner.join(head, ["patch_id", "dst"], "left_semi").select("patch_id", "src", "dst").unionByName(own_edges.join(seeds.withColumnRenamed("node", "src"), ["patch_id", "src"], "left_semi").select("patch_id", "src", "dst"))
     call_cycles = graph.cycles_by_key(edges.where("src <> dst"))
 
-    # Import cycles through a patched file: backwards from it along the imports that stay.
-    stays = index.import_edges(resolved_old)
-    fresh = index.import_edges(resolved_new, "patch_id")
-    frontier = seen = scratch.keep(touched.select("patch_id", F.col("touched").alias("home"), F.col("touched").alias("node")), "back0")
-    hop = 0
-    while True:
-        hop += 1
-        back = frontier.join(stays, F.col("dst") == F.col("node")).select("patch_id", "home", F.col("src").alias("node"))
-        back = back.join(touched.withColumnRenamed("touched", "node"), ["patch_id", "node"], "left_anti")
-        back = back.unionByName(frontier.join(fresh.withColumnRenamed("dst", "node"), ["patch_id", "node"]).select("patch_id", "home", F.col("src").alias("node")))
-        frontier = scratch.keep(back.distinct().join(seen, ["patch_id", "home", "node"], "left_anti"), f"back{hop}")
-        if frontier.isEmpty():
-            break
-        seen = scratch.keep(seen.unionByName(frontier), f"seen{hop}")
-    # A patched file is in a cycle where it imports what leads back to it; the component is found among what leads back.
-    closing = fresh.join(seen, (fresh["patch_id"] == seen["patch_id"]) & (fresh["src"] == seen["home"]) & (fresh["dst"] == seen["node"])).select(fresh["patch_id"], F.col("src").alias("home")).distinct()
-    around = scratch.keep(seen.join(closing, ["patch_id", "home"]), "around")
-    tail, head = around.withColumnRenamed("node", "src"), around.withColumnRenamed("node", "dst")
-    kept = tail.join(touched.withColumnRenamed("touched", "src"), ["patch_id", "src"], "left_anti").join(stays, "src").join(head, ["patch_id", "home", "dst"], "left_semi")
-    made_ = tail.join(fresh, ["patch_id", "src"]).join(head, ["patch_id", "home", "dst"], "left_semi")
-    ring = kept.select("patch_id", "home", "src", "dst").unionByName(made_.select("patch_id", "home", "src", "dst"))
-    ring = graph.cycles_by_key(ring.withColumn("key", F.to_json(F.struct("patch_id", "home"))), "key")
-    ring = ring.withColumn("k", F.from_json("key", "patch_id string, home string")).where(F.array_contains("cycle", F.col("k.home")))
-    import_cycles = ring.select(F.col("k.patch_id").alias("patch_id"), "cycle").distinct()
+    import_cycles = import_rings(index.import_edges(resolved_old), index.import_edges(resolved_new, "patch_id"), touched, scratch)
 
     cycles = call_cycles.withColumn("what", F.lit("call")).unionByName(import_cycles.withColumn("what", F.lit("import")))
     cycles = scratch.keep(cycles, "cycles")

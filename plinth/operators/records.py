@@ -89,6 +89,25 @@ def seeded_order(seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), F.col("input_dsl"), F.col("category"))
 
 
+def numbered(rows: DataFrame, keys: tuple[str, ...], order: Column | None = None, bits: int = 12) -> DataFrame:
+    """``rows`` with ``place``, their number from 1 within ``keys``, in the seeded order or a given one.
+
+    In the seeded order rows are numbered within buckets of its leading bits and each bucket begins after those before
+    it, so few keys with many rows are still many tasks; the places are those of one sort. A given order is one
+    window a key.
+    """
+    if order is not None:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    rows = rows.withColumn("_order", seeded_order()).withColumn("_bucket", F.shiftright("_order", 64 - bits))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))  # at most 2**bits rows a key
+    counts = counts.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_order", "input_dsl", "category"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)] + [F.col("_bucket") == F.col("_b")]
+    out = rows.withColumn("_in", inside).join(counts, on).withColumn("place", F.col("_base") + F.col("_in"))
+    return out.drop("_order", "_bucket", "_in", "_b", "_base", *[f"_{i}" for i in range(len(keys))])
+
+
 def stratified(records: DataFrame, target: int, val_ratio: float = 0.2, order: Column | None = None, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """Records of a balanced dataset with ``split``: every language has as many rows, half of either label in each split.
 
@@ -101,23 +120,20 @@ def stratified(records: DataFrame, target: int, val_ratio: float = 0.2, order: C
     short = [f"{g}/{n}" for g in languages for n in (0, 1) if counts.get((g, n), 0) < need]
     if short:
         raise ValueError(f"too few records for {need} each: {', '.join(short)}")
-    rank = F.row_number().over(Window.partitionBy("language", "label").orderBy(order if order is not None else seeded_order()))
-    rows = records.where(F.col("language").isin(*languages)).withColumn("place", rank).where(F.col("place") <= need)
+    rows = numbered(records.where(F.col("language").isin(*languages)), ("language", "label"), order).where(F.col("place") <= need)
     return rows.withColumn("split", F.when(F.col("place") <= need - held, "train").otherwise("val")).drop("place")
 
 
 def parity(records: DataFrame, per_language: int, order: Column | None = None, keys: tuple[str, ...] = ("language",)) -> DataFrame:
     """Per language as many passes as rejects: at most half of the target each, then the lesser of the two."""
-    rank = F.row_number().over(Window.partitionBy(*keys, "label").orderBy(order if order is not None else seeded_order()))
     counts = records.groupBy(*keys).agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0), F.lit(per_language // 2)).alias("cap"))
-    return records.withColumn("place", rank).join(F.broadcast(counts), list(keys)).where(F.col("place") <= F.col("cap")).drop("place", "cap")
+    return numbered(records, (*keys, "label"), order).join(counts, list(keys)).where((F.col("place") <= F.col("cap")) & (F.col("place") <= per_language // 2)).drop("place", "cap")
 
 
 def export_split(records: DataFrame, val_ratio: float = 0.2, order: Column | None = None) -> DataFrame:
     """Global parity, then the first share of either label is validation (one row at least)."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(order if order is not None else seeded_order()))
     size = records.agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).alias("n"))
-    rows = records.withColumn("place", rank).crossJoin(F.broadcast(size)).where(F.col("place") <= F.col("n"))  # one row
+    rows = numbered(records, ("label",), order).crossJoin(F.broadcast(size)).where(F.col("place") <= F.col("n"))  # one row
     held = F.greatest(F.lit(1), F.floor(F.col("n") * val_ratio))
     return rows.withColumn("split", F.when(F.col("place") <= held, "val").otherwise("train")).drop("place", "n")
 

@@ -69,10 +69,10 @@ def _texts(batches: Iterator[pa.RecordBatch], max_tokens: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([linearise(r, max_tokens) for r in rows], pa.string())], ["patch_id", "file_path", "input_dsl"])
 
 
-def call_graph(facts: DataFrame, files: DataFrame) -> DataFrame:
+def call_graph(facts: DataFrame, files: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """``(src, dst, relation, ord)``: resolved calls and inheritance between symbols."""
     symbols, calls = code.symbols(facts), code.calls(facts)
-    resolved = index.resolve_imports(code.imports(facts), files)
+    resolved = resolved if resolved is not None else index.resolve_imports(code.imports(facts), files)
     edges = index.resolve_calls(calls, symbols, resolved).where("target_id is not null").groupBy(F.col("caller_id").alias("src"), F.col("target_id").alias("dst")).agg(F.min("call_ord").alias("ord"))
     names = index.name_index(symbols.where(F.col("kind").isin("class", "struct", "interface")))
     bases = symbols.select("symbol_id", F.posexplode("bases").alias("ord", "key")).join(names.withColumnRenamed("symbol_id", "dst"), "key")
@@ -138,8 +138,9 @@ def verify(files: DataFrame, changes: DataFrame, hops: int = 1, max_fanout: int
     scratch = Scratch(files.sparkSession, "verify")
     located = scratch.keep(patches.locate(changes, files), "located")
     facts = scratch.keep(code.extract(files), "facts")
-    verdicts = scratch.keep(symbolic.gate(located, facts, files, hops), "verdicts")
-    edges = scratch.keep(call_graph(facts, files), "edges")
+    resolved = scratch.keep(index.resolve_imports(code.imports(facts), files), "imports")
+    edges = scratch.keep(call_graph(facts, files, resolved), "edges")
+    verdicts = scratch.keep(symbolic.gate(located, facts, files, hops, resolved, edges.where("relation = 'CALLS'")), "verdicts")
     seeds = located.select("patch_id", "file_path", F.explode(F.array_distinct(F.concat("affected", "added", "deleted"))).alias("q")).select("patch_id", F.concat_ws("::", "file_path", "q").alias("node"))
     nodes, inside = graph.neighbourhood(edges, seeds, hops, max_fanout, max_nodes)
     known = code.symbols(facts).select(F.col("symbol_id").alias("node"), "name", "signature").dropDuplicates(["node"])

@@ -298,3 +298,14 @@ def test_body_places():
     text = "def f():\n    return 1\n"
     for diff, want in ((_inserted(text.split("\n"), (1, 8), "x = 1", "python"), "def f():\n    x = 1\n    return 1\n"), (_hunk(0, [], ["import a"]), "import a\n" + text), (_hunk(1, ["def f():", "    return 1"], []), "")):
         assert patches.apply(text, diff)[0].strip() == want.strip()
+
+
+def test_import_rings_both_ways(spark):
+    from plinth.operators.gate import import_rings
+    from plinth.session import Scratch
+
+    stays = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"), ("x", "a")], "src string, dst string")
+    fresh = spark.createDataFrame([("p", "c", "a"), ("q", "b", "x"), ("r", "d", "e")], "patch_id string, src string, dst string")
+    touched = spark.createDataFrame([("p", "c"), ("q", "b"), ("r", "d"), ("s", "a")], "patch_id string, touched string")
+    one, many = ({(r.patch_id, tuple(sorted(r.cycle))) for r in import_rings(stays, fresh, touched, Scratch(spark, "rings"), limit).collect()} for limit in (1 << 20, 0))
+    assert one == many == {("p", ("a", "b", "c")), ("q", ("a", "b", "x"))}
