@@ -50,6 +50,39 @@ def test_lines_keep_rows_without_id(spark):
     assert out.where("doc_id is null").count() == 3
 
 
+CLASHING = "doc_id int, text string, lang string, verdict string, gone string, component string, chunk long, n_chars int, row string, sha string"
+
+
+def _awkward(spark):
+    long = " ".join(f"word{i} here" for i in range(40))
+    rows = [(1, long, "en"), (1, long, "en"), (2, None, None), (3, "", "en"), (None, long, None), (None, None, None), (4, "ÄÖ ü\n\nß", "de"), (5, long + " end", None)]
+    return spark.createDataFrame([(i, t, g, "v", "g", "c", 7, 1, "r", "s") for i, t, g in rows], CLASHING)
+
+
+@pytest.mark.parametrize("stage", pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_on_awkward_rows(spark, tmp_path, stage):
+    """Clashing names, nulls, repeated rows and an empty table: columns and other values stay, nothing is multiplied."""
+    spark.createDataFrame([(1, "no such words"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = _awkward(spark)
+    out = stage[1](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in out.collect())
+    given = sorted((r.doc_id or 0, r.text or "") for r in docs.collect())
+    if stage[0] == "language":
+        assert got == [g for g in given if g[1]]
+    elif stage[0] == "near":  # 1 and 5 are near, rows without an id and empty ones stay
+        assert got == [g for g in given if g[0] != 5]
+    else:
+        assert got == given
+    assert {(r.verdict, r.gone, r.component, r.chunk, r.row, r.sha) for r in out.collect()} == {("v", "g", "c", 7, "r", "s")}
+    assert stage[1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_packing_stage_on_awkward_rows(spark, tmp_path):
+    out = pipeline.packed(spark, _awkward(spark), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 1, 2, 3, 4, 5] and pipeline.packed(spark, _awkward(spark).limit(0), str(tmp_path)).count() == 0
+
+
 def test_stage_contract():
     assert [n for n, _ in pipeline.STAGES] == ["language", "lines", "near", "decontaminated", "packed"]
 
