@@ -1,5 +1,9 @@
 """Five corpus stages, each on all that the one before it kept, written as Parquet in between.
 
+Cases, for every stage: columns of any other name pass through as they are, also where a stage uses that name inside;
+a null text counts as empty (the language stage rejects both); repeated rows are decided alike and stay repeated; very
+long texts are whole; an empty table gives an empty one; ties of near duplicates go to the smallest id.
+
 ``STAGES`` lists ``(name, function)``; every function takes ``(spark, docs, sf_dir)``. All but the last return
 the columns of ``docs``, and keep rows without an id but where their text alone rejects them; packing, which
 names documents by id, leaves those rows out. ``run`` applies them to the ``documents`` table. The result (packed sequences of what

@@ -100,3 +100,17 @@ def test_streaming_windows(spark, tmp_path):
     query.stop()
     assert sorted(r.n for r in spark.sql("SELECT n FROM w").collect()) == [20, 20, 20]
     assert incremental.sessions(events, late=None).count() == 60
+
+
+def test_numbering_by_buckets_is_one_order(spark):
+    from pyspark.sql import Window
+
+    from plinth.operators import records
+
+    rows = spark.range(3000).select(F.concat(F.lit("t"), F.col("id") % 900).alias("input_dsl"), F.lit("c").alias("category"), F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 2).alias("label"), "id")
+    got = records.numbered(rows, ("label",))
+    places = {k: sorted(r.place for r in got.where(F.col("label").eqNullSafe(F.lit(k))).collect()) for k in (0, 1, None)}
+    assert all(v == list(range(1, len(v) + 1)) for v in places.values()) and sum(map(len, places.values())) == 3000
+    order = F.row_number().over(Window.partitionBy("label").orderBy(records.seeded_order(), "input_dsl", "category"))
+    one = {(r.label, r.p): r.input_dsl for r in rows.withColumn("p", order).collect()}
+    assert {(r.label, r.place): r.input_dsl for r in got.collect()} == one
