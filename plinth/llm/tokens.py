@@ -16,7 +16,7 @@ import numpy as np
 
 from .common import settle
 
-CHUNKS, PIECES = 150_000, 150_000
+CHUNKS, PIECES = 250_000, 300_000
 
 #: The split pattern of the vocabulary, for ASCII and Latin letters in lower case.
 _LETTERS = "a-zß-öø-ɏ"
@@ -81,9 +81,8 @@ class Encoder:
         return [b"".join(map(get, x)) for x in words]
 
     def rest(self) -> None:
-        """Give the caches back at a task's end: workers outlive their stage."""
+        """Give the chunk cache back at a task's end: workers outlive their stage. Pieces stay for the next task."""
         self.chunks.clear()
-        self.pieces.clear()
         settle()
 
 
