@@ -20,7 +20,7 @@ from plinth.llm.near_dedup import near_duplicates
 from plinth.llm.packing import packed_sequences
 from plinth.llm.sharding import balanced_shards
 from plinth.llm.substring_dedup import without_repeated_passages
-from plinth.llm.tokens import encoder, vocabulary
+from plinth.llm.tokens import Encoder, encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, size int, h1 double, Bands string"
 PROSE = [f"w{i % 97}x{(i * i) % 89}" for i in range(900)]
@@ -286,6 +286,24 @@ def test_token_cache_equals_whole_texts():
         assert whole.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist()
 
 
+def test_token_cache_on_letters_whose_lower_case_lies_elsewhere():
+    """Such letters (U+0181, U+023A) once stopped the whole job; random texts over marks and letters, both generations."""
+    from tokenizers import Tokenizer
+
+    whole, cache = Tokenizer.from_file(vocabulary(None)), Encoder(vocabulary(None))
+    draw = np.random.default_rng(3)
+    signs = [*map(chr, range(0x20, 0x250)), *"'" * 60, *"strevlmd" * 8, *" " * 30, "\x1c", "\x85", "\n", "\u201c", "\u4f60", "<|"]
+    texts = ["\u023a\u0181a \u0181ara"]
+    texts += ["".join(draw.choice(signs, n)) for n in draw.integers(0, 60, 2000)]
+    texts += ["".join(draw.choice(list("abz\u00e9''srevldmt05 .-\n"), n)) for n in draw.integers(0, 60, 2000)]
+    for at in range(0, len(texts), 200):
+        if at % 600 == 0:
+            cache.former, cache.pieces = cache.pieces, {}
+        part = texts[at : at + 200]
+        for text, ids in zip(part, cache.encode([t.encode() for t in part]), strict=True):
+            assert whole.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist()
+
+
 def test_shards_are_near_equal(spark):
     """The law ``bytes``: with groups that are small against a shard, sizes differ by less than a small group."""
     draw = np.random.default_rng(8)
