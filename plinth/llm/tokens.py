@@ -112,8 +112,8 @@ class Encoder:
         return [b"".join(map(known[plain], x)) for plain, x in words]
 
     def rest(self) -> None:
-        """Give the chunk cache back at a task's end: workers outlive their stage. Pieces stay for the next task."""
-        self.chunks.clear()
+        """Give the caches back at a task's end: workers outlive their stage."""
+        self.chunks, self.pieces, self.former = {}, {}, {}
         settle()
 
 

@@ -304,6 +304,15 @@ def test_token_cache_on_letters_whose_lower_case_lies_elsewhere():
             assert whole.encode(text, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist()
 
 
+def test_token_caches_are_given_back():
+    """Workers outlive their stage; what they kept added up with the memory of the stages after it."""
+    cache = Encoder(vocabulary(None))
+    before = cache.encode([b"some words", "some \u4f60 words".encode()])
+    assert cache.pieces and cache.chunks
+    cache.rest()
+    assert not cache.pieces and not cache.former and not cache.chunks and cache.encode([b"some words", "some \u4f60 words".encode()]) == before
+
+
 def test_shards_are_near_equal(spark):
     """The law ``bytes``: with groups that are small against a shard, sizes differ by less than a small group."""
     draw = np.random.default_rng(8)
