@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 4
 T = BANDS * ROWS
 #: Shingles of one chunk of full sets, on average.
 CHUNK = 1 << 19
+#: Documents, shingles and pairs to compare that make one file of a scratch table worth writing; the first table follows the scan.
+FILE_DOCS, FILE_SHINGLES, FILE_PAIRS = 1 << 12, 1 << 20, 1 << 12
 
 _word, _run = SpanHash(11), RunHash(12)
 
@@ -143,6 +145,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     scratch = Scratch(spark, "near")
     texts = keyed_texts(docs)
     every = scratch.keep(texts.mapInArrow(lambda it: _digest(it, shingle), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "digests")
+    documents, grams = every.agg(F.count("*"), F.sum("n_shingles")).first()
+    scratch.files = 1 + max(documents // FILE_DOCS, (grams or 0) // FILE_SHINGLES)
 
     # One class for each distinct set; its bands come from any of its equal members.
     classes = scratch.keep(every.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held")), "classes")
@@ -168,11 +172,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     suspects = scratch.keep(banded.select("doc_id").distinct(), "suspects")
     bodies = scratch.keep(picked(texts, suspects).mapInArrow(lambda it: _sets(it, shingle), "doc_id long, body binary, chunk long").dropDuplicates(["doc_id"]), "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, most: int, name: str) -> DataFrame:
+        """The links among ``pairs``, of which there are at most ``most``."""
         left = bodies.select(F.col("doc_id").alias("u"), F.col("body").alias("a"))
         right = bodies.select(F.col("doc_id").alias("v"), F.col("body").alias("b"))
         full = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b")
-        return full.mapInArrow(lambda it: _verified(it, percent), "u long, v long")
+        return scratch.keep(full.mapInArrow(lambda it: _verified(it, percent), "u long, v long"), name, max(scratch.files, 1 + most // FILE_PAIRS))
 
     fits = (F.col("n") * 100 >= F.col("hub.n") * percent) & (F.col("hub.n") * 100 >= F.col("n") * percent)
 
@@ -180,7 +185,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         hub = rows.groupBy("bucket").agg(F.max_by(F.struct("doc_id", "n", "part"), F.struct("weight", -F.col("doc_id"))).alias("hub"))
         return rows.join(hub, "bucket").where(fits & (F.col("part") != F.col("hub.part"))).select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
 
-    first = scratch.keep(verify(star(banded.withColumn("part", F.col("doc_id")))), "star1")
+    first = verify(star(banded.withColumn("part", F.col("doc_id"))), banded.count(), "star1")
     labels = components(first, scratch, "c1")
 
     def labelled(found: DataFrame) -> DataFrame:
@@ -218,10 +223,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & (F.least("left", "rest") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
     pairs = prefix.join(ours, "t").where(near & (F.col("part") != F.col("other"))).select(F.least("doc_id", "x").alias("u"), F.greatest("doc_id", "x").alias("v")).distinct()
     pairs = scratch.keep(pairs, "pairs")
-    third = scratch.keep(verify(pairs), "rest")
+    third = verify(pairs, pairs.count(), "rest")
     labels = components(first.unionByName(third), scratch, "c2") if not third.isEmpty() else labels
 
     final = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
     final = final.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = every.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    return out.coalesce(scratch.files)

@@ -53,17 +53,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables that cut lineage: ``keep(df, name)`` writes once and gives a DataFrame that reads it."""
+    """Tables that cut lineage: ``keep(df, name)`` writes once and gives a DataFrame that reads it.
+
+    ``files`` bounds the files of a table where its maker knows how much there is: on a local file system a writer
+    starts a process or two for each. The writing tasks then take several partitions each; shuffles stay as they are.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
         self.spark = spark
+        self.files: int | None = None
         self.root = f"{shared_dir(spark)}/plinth-{label}-{uuid.uuid4().hex[:12]}"
         _made.append((spark, self.root))
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        files = files or self.files
+        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

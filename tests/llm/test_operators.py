@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,29 @@ def test_near_duplicates_through_prefixes(spark):
     assert {r.doc_id: r.component_id for r in near_duplicates(df, 4).collect()} == label
 
 
+@pytest.mark.parametrize("worth", [1 << 12, 1])
+def test_near_duplicates_in_few_files(spark, docs, monkeypatch, worth):
+    """Scratch tables have the files that their rows are worth, not one for each shuffle partition; results stay."""
+    from plinth import session
+    from plinth.llm import near_dedup
+
+    for name in ("FILE_DOCS", "FILE_SHINGLES", "FILE_PAIRS"):
+        monkeypatch.setattr(near_dedup, name, worth)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = near_duplicates(docs, 4)
+        assert table(out, "doc_id", "n_shingles", "component_id", "kept") == near_truth(4, 80)
+        made = Path(session._made[-1][1].removeprefix("file://"))
+        files = {p.name: len(list(p.glob("part-*"))) for p in made.iterdir() if p.name != "digests"}
+        assert files and (max(files.values()) == 1) == (worth > 1), files
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_components_both_ways(spark):
     from plinth.llm.common import Scratch, components
 
